@@ -57,6 +57,11 @@ def unpack(blob: bytes, dtypes: list) -> tuple[list[np.ndarray], bytes]:
     return out, raw[at:]
 
 
+def dealt(df: DataFrame, parts: int) -> DataFrame:
+    """Blocks to partitions by their bucket's number, as many buckets to each."""
+    return df.repartitionById(parts, F.pmod(F.col("bucket"), F.lit(parts)).cast("int"))
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 

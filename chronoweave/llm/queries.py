@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronoweave.llm._common import table
 
@@ -15,8 +16,36 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), length=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from chronoweave.llm import bpe_lexicon
+
+    out = bpe_lexicon.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op7_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoweave.llm import simhash_ball
+
+    out = simhash_ball.near_duplicates(table(spark, sf_dir, "documents"), words=3)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoweave.llm import secret_scan
+
+    return secret_scan.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoweave.llm import decontaminate
+
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_dedup,)}
+    return {f.__name__: f for f in (op2_suffix_dedup, op6_bpe_lexicon, op7_simhash_ball, op8_secret_scan, op10_template_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

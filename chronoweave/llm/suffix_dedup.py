@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm._common import batch_of, checkpoint, pack, partitions_for, small_batches, unpack
+from chronoweave.llm._common import batch_of, checkpoint, dealt, pack, partitions_for, small_batches, unpack
 
 ANCHOR = 20
 SEED_LENGTH = 8
@@ -40,7 +40,7 @@ WIDTHS = (81, 27, 9, 3, 1)
 TEXT_CHUNK = 4 << 20
 ROUTE_TEXT = 16 << 20
 PART_RAW = 48 << 20
-BLOCK_TEXT = 3 << 20
+BLOCK_TEXT = 1 << 20
 RECORD = [np.uint64, np.int64, np.uint64, np.int64, np.uint8, np.uint8]
 RUN = [np.int64, np.uint64, np.int64, np.int64]
 ROUTED = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("blob", pa.binary())])
@@ -189,24 +189,25 @@ def bounded_suffix_array(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndar
     while size < SEED_LENGTH:
         k = (k[:-size] << np.uint64(8 * size)) | k[size:]
         size *= 2
-    sa = np.argsort(k, kind="stable")
+    sa = np.argsort(k)
     seed = k[sa]
-    rank = np.empty(n, np.int64)
-    slots = np.arange(n)
+    sa = sa.astype(np.int32)
+    rank = np.empty(n, np.int32)
+    slots = np.arange(n, dtype=np.int32)
     heads = np.concatenate([[True], seed[1:] != seed[:-1]])
     h = SEED_LENGTH
     while True:
-        first = slots[np.maximum.accumulate(np.where(heads, np.arange(len(slots)), 0))]
+        first = slots[np.maximum.accumulate(np.where(heads, np.arange(len(slots), dtype=np.int32), np.int32(0)))]
         rank[sa[slots]] = first
         alone = heads & np.concatenate([heads[1:], [True]])
         slots = slots[~alone]
         if not len(slots) or h >= depth:
             return sa, seed
         own = sa[slots]
-        at = own + h
+        at = own + np.int32(h)
         at[at >= n] -= n
         key = (rank[own].astype(np.uint64) << np.uint64(32)) | rank[at].astype(np.uint64)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         sa[slots] = own[order]
         heads = np.concatenate([[True], key[1:] != key[:-1]])
@@ -219,22 +220,24 @@ def equal_prefix_groups(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndar
     sa, seed = bounded_suffix_array(t, length)
     bwt = t[sa - 1]
     by = np.argsort(bwt, kind="stable")
-    lf = np.empty(n, np.int64)
-    lf[by] = np.arange(n)
-    later, before = np.full(n, n, np.int64), np.full(n, -1, np.int64)
+    by = by.astype(np.int32)
+    lf = np.empty(n, np.int32)
+    lf[by] = np.arange(n, dtype=np.int32)
+    later, before = np.full(n, n, np.int32), np.full(n, -1, np.int32)
     same = bwt[by[1:]] == bwt[by[:-1]]
     later[by[:-1][same]] = by[1:][same]
     before[by[1:][same]] = by[:-1][same]
     bound = np.zeros(n + 1, bool)
     bound[0] = bound[n] = True
     bound[1:n] = seed[1:] != seed[:-1]
-    lo = np.flatnonzero(bound[:n])
-    hi = np.concatenate([lo[1:], [n]]) - 1
+    lo = np.flatnonzero(bound[:n]).astype(np.int32)
+    hi = np.append(lo[1:], np.int32(n)) - np.int32(1)
     for _ in range(SEED_LENGTH, length):
         if not len(lo):
             break
-        sizes = hi - lo + 1
-        slot = np.arange(int(sizes.sum())) + np.repeat(lo - (np.cumsum(sizes) - sizes), sizes)
+        sizes = hi - lo + np.int32(1)
+        stop = np.cumsum(sizes, dtype=np.int32)
+        slot = np.arange(stop[-1], dtype=np.int32) + np.repeat(lo - (stop - sizes), sizes)
         last = slot[later[slot] > np.repeat(hi, sizes)]
         first = slot[before[slot] < np.repeat(lo, sizes)]
         last, first = np.sort(lf[last]), np.sort(lf[first])
@@ -532,7 +535,7 @@ def dedup(docs: DataFrame, length: int = 100, hot: int = 20_000, keep_bytes: boo
     records = rows.where(F.octet_length("text") >= length).mapInArrow(emit_records(length, buckets), routed_type)
     runs, round_ = None, 0
     while True:
-        solved = records.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(resolve(length, buckets, doc_buckets, round_, hot), routed_type)
+        solved = dealt(records, parts).sortWithinPartitions("bucket").mapInArrow(resolve(length, buckets, doc_buckets, round_, hot), routed_type)
         solved = checkpoint(solved)
         own = solved.where("kind = 0")
         runs = own if runs is None else runs.unionByName(own)
@@ -541,5 +544,5 @@ def dedup(docs: DataFrame, length: int = 100, hot: int = 20_000, keep_bytes: boo
         if round_ == len(WIDTHS) or records.isEmpty():
             break
     texts = rows.mapInArrow(emit_texts(doc_buckets), routed_type)
-    both = runs.unionByName(texts).repartition(doc_parts, "bucket").sortWithinPartitions("bucket", "kind")
+    both = dealt(runs.unionByName(texts), doc_parts).sortWithinPartitions("bucket", "kind")
     return both.mapInArrow(apply_runs(length, keep_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
