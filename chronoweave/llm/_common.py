@@ -13,6 +13,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave.shipping import ship
+
 #: Rows per Arrow batch: long texts must not pile up in one batch.
 ARROW_ROWS = 512
 
@@ -21,8 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get by rows; the session keeps a smaller setting of its own."""
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the workers, and bound the Arrow batches that they get by rows; the session keeps a smaller setting of its own."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))

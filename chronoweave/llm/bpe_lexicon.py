@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm._common import batch_of, small_batches
+from chronoweave.llm._common import batch_of, prepare
 
 #: Below this code point, the pattern's letter and number classes are the same in every Unicode version in use.
 SETTLED = re.compile("[^\x00-՗]")
@@ -277,7 +277,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, lexicon_words: int = 50_0
     A null text is empty: no tokens. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     model = merges(vocabulary)
     frequent = [w.encode() for w in frequent_words(docs, lexicon_words)]
     data = compile_lexicon((w, model.merge(w)) for w in frequent)

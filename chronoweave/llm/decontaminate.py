@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm._common import batch_of, small_batches
+from chronoweave.llm._common import batch_of, prepare
 from chronoweave.llm.suffix_dedup import mixed
 
 NUMBER, UNIT, CAPITAL, STOP = 1, 2, 4, 8
@@ -78,8 +78,16 @@ class Tokens:
         return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
 
 
+def line_starts(lines: list[list[str]]) -> np.ndarray:
+    """Which words of the lines, laid end to end, are the first of theirs."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    first = np.zeros(int(sizes.sum()), bool)
+    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    return first
+
+
 def template(literal: np.ndarray, flags: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Template codes and slot types (0: literal) of texts laid end to end; first marks the first token of each text."""
+    """Template codes and slot types (0: literal) of texts laid end to end; first marks the first token of each line."""
     before = np.concatenate([[0], flags[:-1]]).astype(np.uint8)
     before[first] = STOP
     kind = np.where(flags & NUMBER, NUMBER, 0)
@@ -107,9 +115,10 @@ class Benchmark:
         tokens, rows = Tokens(), defaultdict(list)
         self.items, self.window = [], window
         for item, text in items:
-            words = text.split()
+            lines = [line.split() for line in text.split("\n")]
+            words = [w for line in lines for w in line]
             literal, flags = tokens.of(words)
-            first = np.arange(len(words)) == 0
+            first = line_starts(lines)
             code, kind = template(literal, flags, first)
             n = min(window, len(words))
             if n < least:
@@ -162,7 +171,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5
     of the smallest item_id. Rows of docs that repeat a doc_id give one row, the longest match. Null and empty texts
     match nothing; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     items = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
     size = F.size(F.split(F.trim("text"), r"\s+"))
     total = items.agg(F.sum(size)).first()[0] or 0
@@ -209,15 +218,15 @@ def _against(docs: DataFrame, bench: Benchmark) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench, tokens = sent.value, Tokens()
         for b in batches:
-            texts = [(t or "").split() for t in b.column(1).to_pylist()]
-            sizes = np.array([len(t) for t in texts], np.int64)
+            texts = [[line.split() for line in (t or "").split("\n")] for t in b.column(1).to_pylist()]
+            sizes = np.array([sum(map(len, t)) for t in texts], np.int64)
             ends = np.cumsum(sizes)
-            words = [w for t in texts for w in t]
+            lines = [line for t in texts for line in t]
+            words = [w for line in lines for w in line]
             if not words:
                 continue
             literal, flags = tokens.of(words)
-            first = np.zeros(len(words), bool)
-            first[(ends - sizes)[sizes > 0]] = True
+            first = line_starts(lines)
             code, kind = template(literal, flags, first)
             by_doc: dict[int, list] = defaultdict(list)
             for n, at, row in bench.hits(code):

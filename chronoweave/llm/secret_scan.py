@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm._common import batch_of, small_batches
+from chronoweave.llm._common import batch_of, prepare
 
 #: Base kinds, then those confirmed by structure; spans at the same start are listed in this order.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key")
@@ -181,7 +181,7 @@ def scan(docs: DataFrame) -> DataFrame:
     commas) and found (the same as an array of structs). A null or empty text has none. An empty table gives an empty
     result.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,5 +204,5 @@ def redacted(docs: DataFrame) -> DataFrame:
     def clean(texts):
         return texts.map(lambda t: t if t is None else redact(t, find(t)))
 
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.withColumn("text", clean("text"))

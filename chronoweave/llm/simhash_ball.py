@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm._common import batch_of, checkpoint, connected_components, dealt, pack, partitions_for, small_batches, unpack
+from chronoweave.llm._common import batch_of, checkpoint, connected_components, dealt, pack, partitions_for, prepare, unpack
 from chronoweave.llm.suffix_dedup import bucket_of, mixed, per_bucket
 
 RADIUS = 3
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     and is linked like any other. Rows without doc_id link as well but name no component; component_id is null if no
     member has an id. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     prints = checkpoint(fingerprints(docs, words))
     of = _components(prints)
     named = of.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -174,7 +174,7 @@ def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
     Rows without doc_id come last; of rows that share the id, that of the least text hash stays, and of rows equal in
     both, one. All columns of docs are kept as they are.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     known = docs.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
     if known[0] == known[1] == known[2]:
         gone = near_duplicates(docs, words).where("doc_id <> component_id").select("doc_id")

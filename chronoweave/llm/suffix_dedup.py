@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm._common import batch_of, checkpoint, dealt, pack, partitions_for, small_batches, unpack
+from chronoweave.llm._common import batch_of, checkpoint, dealt, pack, partitions_for, prepare, unpack
 
 ANCHOR = 20
 SEED_LENGTH = 8
@@ -519,7 +519,7 @@ def dedup(docs: DataFrame, length: int = 100, hot: int = 20_000, keep_bytes: boo
     `length` lose nothing. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     if not ANCHOR < length <= 128:
         raise ValueError(f"length must be over {ANCHOR} and at most 128")
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
