@@ -69,6 +69,46 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
+# --- a hash table of longs for whole arrays
+
+
+class LongTable:
+    """An open hash table from keys (not negative) to values, looked up an array at a time."""
+
+    def __init__(self, keys: list[int], values: list[int], missing: int):
+        bits = max(8, (4 * len(keys)).bit_length())
+        self.shift, self.mask, self.missing, self.probes = np.uint64(64 - bits), (1 << bits) - 1, missing, 1
+        self.key, self.value = np.full(1 << bits, -1, np.int64), np.full(1 << bits, missing, np.int64)
+        for key, value, at in zip(keys, values, self.slot(np.array(keys, np.int64)).tolist(), strict=True):
+            n = 1
+            while self.key[at] >= 0:
+                at, n = (at + 1) & self.mask, n + 1
+            self.key[at], self.value[at] = key, value
+            self.probes = max(self.probes, n)
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, key: np.ndarray) -> np.ndarray:
+        """The values; negative keys are missing."""
+        at = self.slot(key)
+        there = self.key[at]
+        out = np.where(there == key, self.value[at], self.missing)
+        rest = np.flatnonzero((there != key) & (there >= 0) & (key >= 0))
+        if len(rest):
+            key, at, flat = key.ravel()[rest], at.ravel()[rest], out.ravel()
+            for _ in range(self.probes):
+                at = (at + 1) & self.mask
+                there = self.key[at]
+                hit = there == key
+                flat[rest[hit]] = self.value[at[hit]]
+                more = ~hit & (there >= 0)
+                rest, key, at = rest[more], key[more], at[more]
+                if not len(rest):
+                    break
+        return out
+
+
 # --- connected components
 
 

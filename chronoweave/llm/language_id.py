@@ -14,24 +14,28 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm._common import batch_of, prepare
+from chronoweave.llm._common import LongTable, batch_of, prepare
 
 #: The vocabulary's mark for the start of a word.
 START = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Longer runs of letters are cut here: a probability is a product over the word.
 LONGEST_WORD = 24
+#: Pieces are numbered from 2 on; 1 is any single letter that the vocabulary lacks.
+STRANGE_PIECE = 1
 #: Share of probability spread over pieces that a language hasn't used, and of single letters outside the vocabulary.
 UNSEEN = 1e-3
 STRANGE = 1e-7
 CHUNK_WORDS = 4096
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 500_000
+GROUP_WORDS = 200_000
 UNDECIDED = "und"
 
 
@@ -50,27 +54,48 @@ def words_of(text: str) -> list[str]:
     return out if all(len(w) <= LONGEST_WORD for w in out) else [w[i : i + LONGEST_WORD] for w in out for i in range(0, len(w), LONGEST_WORD)]
 
 
+class Trie:
+    """The pieces by their letters: (state, code point) to state, and the piece that each state is, numbered from 2 on."""
+
+    def __init__(self, vocabulary: list[str]):
+        self.longest = max(map(len, vocabulary), default=1)
+        states: dict[str, int] = {"": 0}
+        piece = [0]
+        for i, p in enumerate(vocabulary):
+            for k in range(1, len(p) + 1):
+                if p[:k] not in states:
+                    states[p[:k]] = len(states)
+                    piece.append(0)
+            piece[states[p]] = i + 2
+        own = [(states[p[:-1]] << 21 | ord(p[-1]), n) for p, n in states.items() if p]
+        self.step = LongTable([k for k, _ in own], [n for _, n in own], -1)
+        self.piece = np.array(piece, np.int32)
+
+
 class Lattice:
-    """The pieces at every place of many words at once: at[word, start, length - 1] is a piece's number plus one, or 0."""
+    """The pieces at every place of many words at once: at[word, start, length - 1] is a piece's number, or 0."""
 
-    def __init__(self, words: list[str], number: dict[str, int], longest: int):
+    def __init__(self, words: list[str], trie: Trie):
         marked = [START + w for w in words]
         self.sizes = np.array([len(w) for w in marked], np.int64)
-        self.longest = longest
-        self.at = np.zeros((len(marked), int(self.sizes.max()), longest), np.int32)
-        strange = len(number) + 1
-        get = number.get
-        for i, w in enumerate(marked):
-            n, row = len(w), self.at[i]
-            for s in range(n):
-                for e in range(s + 1, min(n, s + longest) + 1):
-                    if (p := get(w[s:e])) is not None:
-                        row[s, e - s - 1] = p + 1
-                if not row[s, 0]:
-                    row[s, 0] = strange
+        width = int(self.sizes.max())
+        codes = np.full((len(marked), width), -1, np.int64)
+        codes[np.arange(width) < self.sizes[:, None]] = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
+        self.at = np.zeros((len(marked), width, min(trie.longest, width)), np.int32)
+        word, start = np.nonzero(codes >= 0)
+        state = np.zeros(len(word), np.int64)
+        for k in range(self.at.shape[2]):
+            inside = start + k < self.sizes[word]
+            word, start, state = word[inside], start[inside], state[inside]
+            state = trie.step.get(state << 21 | codes[word, start + k])
+            alive = state >= 0
+            word, start, state = word[alive], start[alive], state[alive]
+            self.at[word, start, k] = trie.piece[state]
+        single = self.at[:, :, 0]
+        single[(single == 0) & (codes >= 0)] = STRANGE_PIECE
 
     def forward(self, prob: np.ndarray) -> np.ndarray:
-        """alpha[word, place, language]: the probability of all segmentations up to the place. prob: [piece number plus one, language]."""
+        """alpha[word, place, language]: the probability of all segmentations up to the place. prob: [piece number, language]."""
         n, width, longest = self.at.shape
         alpha = np.zeros((n, width + 1, prob.shape[1]))
         alpha[:, 0] = 1
@@ -108,8 +133,7 @@ class Model:
         self.prepare()
 
     def prepare(self) -> None:
-        self.number = {p: i for i, p in enumerate(self.vocabulary)}
-        self.longest = max(map(len, self.vocabulary), default=1)
+        self.trie = Trie(self.vocabulary)
         self.known: dict[str, int] = {}
         self.scores = np.zeros((KNOWN_WORDS, len(self.langs)))
 
@@ -122,56 +146,74 @@ class Model:
 
     def log_words(self, words: list[str]) -> np.ndarray:
         """Log probability of each word, by language."""
-        lattice = Lattice(words, self.number, self.longest)
+        lattice = Lattice(words, self.trie)
         alpha = lattice.forward(self.prob)
         return np.log(np.maximum(alpha[np.arange(len(words)), lattice.sizes], 1e-300))
 
-    def log_text(self, text: str) -> np.ndarray | None:
-        """Log probability of a text, by language; None if it has no letters."""
-        words, total = words_of(text), np.zeros(len(self.langs))
-        if not words:
-            return None
-        for at in range(0, len(words), KNOWN_WORDS):
-            part = words[at : at + KNOWN_WORDS]
-            new = set(part).difference(self.known)
-            if len(self.known) + len(new) > KNOWN_WORDS:
-                self.known.clear()
-                new = set(part)
-            ordered = sorted(new, key=len)
-            for s in range(0, len(ordered), CHUNK_WORDS):
-                own = ordered[s : s + CHUNK_WORDS]
-                first = len(self.known)
-                self.scores[first : first + len(own)] = self.log_words(own)
-                self.known |= {w: first + i for i, w in enumerate(own)}
-            total += self.scores[np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))].sum(axis=0)
-        return total
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        logs = self.log_text(text) if text and self.langs else None
-        if logs is None:
-            return UNDECIDED, 0.0
-        best = int(np.argmax(logs))
-        return self.langs[best], float(1 / np.exp(np.maximum(logs - logs[best], -700)).sum())
+    def learn(self, words: set[str]) -> None:
+        """Make the scores of words known, forgetting others if there would be too many."""
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > len(self.scores):
+            self.known.clear()
+            new = words
+            if len(new) > len(self.scores):
+                self.scores = np.zeros((len(new), len(self.langs)))
+        ordered = sorted(new, key=len)
+        for s in range(0, len(ordered), CHUNK_WORDS):
+            own = ordered[s : s + CHUNK_WORDS]
+            first = len(self.known)
+            self.scores[first : first + len(own)] = self.log_words(own)
+            self.known |= {w: first + i for i, w in enumerate(own)}
+
+    def log_text(self, words: list[str]) -> np.ndarray:
+        """Log probability of a text's words, all of them known, by language."""
+        return self.scores[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0)
+
+    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        """(language, posterior) of each text. Words are scored for some texts at a time, or for parts of a very long one."""
+        group: list[list[str]] = []
+        size = 0
+        for text in texts:
+            group.append(words_of(text) if text and self.langs else [])
+            size += len(group[-1])
+            if size >= GROUP_WORDS:
+                yield from self._flush(group)
+                group, size = [], 0
+        yield from self._flush(group)
+
+    def _flush(self, group: list[list[str]]) -> Iterator[tuple[str, float]]:
+        if len(group) > 1:
+            self.learn(set(chain.from_iterable(group)))
+        for words in group:
+            if not words:
+                yield UNDECIDED, 0.0
+                continue
+            logs = np.zeros(len(self.langs))
+            for at in range(0, len(words), GROUP_WORDS):
+                part = words[at : at + GROUP_WORDS]
+                if len(group) == 1:
+                    self.learn(set(part))
+                logs += self.log_text(part)
+            best = int(np.argmax(logs))
+            yield self.langs[best], float(1 / np.exp(np.maximum(logs - logs[best], -700)).sum())
 
 
 def fit(vocabulary: list[str], counts: dict[str, dict[str, int]], rounds: int = 3) -> Model:
     """A model of the languages of counts (language: word: count)."""
     langs = sorted(counts)
-    number = {p: i for i, p in enumerate(vocabulary)}
-    longest, size = max(map(len, vocabulary), default=1), len(vocabulary) + 2
+    trie, size = Trie(vocabulary), len(vocabulary) + 2
     prob = np.zeros((size, len(langs)))
     for j, lang in enumerate(langs):
         words = sorted(counts[lang], key=lambda w: (len(w), w))
-        chunks = [(Lattice(own, number, longest), np.array([counts[lang][w] for w in own], float)) for own in (words[i : i + CHUNK_WORDS] for i in range(0, len(words), CHUNK_WORDS))]
+        chunks = [(Lattice(own, trie), np.array([counts[lang][w] for w in own], float)) for own in (words[i : i + CHUNK_WORDS] for i in range(0, len(words), CHUNK_WORDS))]
         p = np.full(size, 1 / size)
-        for nth in range(rounds):
+        for _ in range(rounds):
             uses = np.zeros(size)
             for lattice, n in chunks:
                 uses += lattice.expected(p, n)
-            uses[0] = uses[-1] = 0
+            uses[:2] = 0
             p = (1 - UNSEEN) * uses / max(uses.sum(), 1e-9) + UNSEEN / size
-            p[0], p[-1] = 0, STRANGE
-            del nth
+            p[0], p[STRANGE_PIECE] = 0, STRANGE
         prob[:, j] = p
     return Model(vocabulary, langs, prob)
 
@@ -215,7 +257,7 @@ def identify(docs: DataFrame, vocabulary: str, sample_docs: int = 400) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:
-            found = [model.predict(t) for t in b.column(2).to_pylist()]
+            found = list(model.predict(b.column(2).to_pylist()))
             if found:
                 names, scores = zip(*found, strict=True)
                 yield batch_of(PREDICTED, b.column(0), b.column(1), names, [s if math.isfinite(s) else 0.0 for s in scores])
