@@ -17,19 +17,24 @@ import re
 import tempfile
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.llm._common import batch_of, prepare
+from chronoweave.llm._common import LongTable, batch_of, prepare
 
 #: Below this code point, the pattern's letter and number classes are the same in every Unicode version in use.
-SETTLED = re.compile("[^\x00-՗]")
-CACHE_WORDS = 300_000
+SETTLED_END = 0x558
+SETTLED = re.compile(f"[^\x00-{chr(SETTLED_END - 1)}]")
+RARE_WORDS = 400_000
+GROUP_WORDS = 200_000
+#: Longer words are merged one by one.
+SHORT_WORD = 32
+NEVER = 1 << 40
 FREQUENT = r" ?\p{L}+"
 
 
@@ -40,6 +45,28 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def settled_pattern() -> re.Pattern:
+    """The vocabulary's split of a text into words, for texts of settled characters only, with its classes spelled out."""
+    chars = [chr(i) for i in range(SETTLED_END)]
+    of = {name: "".join(re.escape(c) for c in chars if regex.match(p, c)) for name, p in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s"))}
+    letter, number, space = of["L"], of["N"], of["S"]
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
+class Pairs:
+    """Ranks of pairs of ids, for arrays."""
+
+    def __init__(self, rank: dict[tuple[int, int], tuple[int, int]]):
+        self.made = np.zeros(len(rank) + 1, np.int64)
+        for r, made in rank.values():
+            self.made[r] = made
+        self.table = LongTable([a << 32 | b for a, b in rank], [r for r, _ in rank.values()], NEVER)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """NEVER for pairs that don't merge; ids below 0 are none."""
+        return self.table.get(np.where((a < 0) | (b < 0), -2, a << 32 | b))
+
+
 class Merges:
     """The vocabulary: exact merging of one word, ids to bytes, and the split of a text into words."""
 
@@ -55,34 +82,68 @@ class Merges:
             self.bytes_of[i] = bytes(back[c] for c in token)
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
+        self.numbers = list(range(len(self.bytes_of)))
         self.text_of = [str(i) for i in range(len(self.bytes_of))]
         self.single = [vocab[letters[b]] for b in range(256)]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.rank = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(pairs)}
+        self.pairs = Pairs(self.rank)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.pattern = settled_pattern()
         self.path = path
         self._library = None
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Merge the pair of least rank, the leftmost first, until none is left."""
-        ids = [self.single[b] for b in word]
-        if len(ids) > 48:
-            return self._merge_long(ids)
-        rank = self.rank
-        while len(ids) > 1:
-            best = min(((rank[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in rank), default=None)  # noqa: B905
-            if best is None:
-                break
-            i = best[1]
-            ids[i : i + 2] = [rank[ids[i], ids[i + 1]][1]]
-        return tuple(ids)
+        return self.merge_all([word])[0]
+
+    def merge_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """merge() of many words: those of about a length side by side, one merge of each a round."""
+        out: list = [()] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for low, width in pairwise((0, 6, 9, 13, 20, SHORT_WORD)):
+            rows = np.flatnonzero((sizes > low) & (sizes <= width))
+            for s in range(0, len(rows), 1 << 15):
+                part = rows[s : s + (1 << 15)]
+                for i, ids in zip(part.tolist(), self._merge_short([words[i] for i in part.tolist()], sizes[part], width), strict=True):
+                    out[i] = ids
+        for i in np.flatnonzero(sizes > SHORT_WORD).tolist():
+            out[i] = self._merge_long([self.single[b] for b in words[i]])
+        return out
+
+    def _merge_short(self, words: list[bytes], sizes: np.ndarray, width: int) -> list[tuple[int, ...]]:
+        n, column = len(words), np.arange(width)
+        ids = np.full((n, width), -1, np.int64)
+        ids[column < sizes[:, None]] = np.array(self.single)[np.frombuffer(b"".join(words), np.uint8)]
+        rank = np.full((n, width), NEVER, np.int64)
+        rank[:, :-1] = self.pairs.rank(ids[:, :-1], ids[:, 1:])
+        live = np.arange(n)
+        own, ranks = ids, rank
+        while len(live):
+            at = ranks.argmin(axis=1)
+            row = np.arange(len(live))
+            best = ranks[row, at]
+            go = best < NEVER
+            if not go.all():
+                ids[live[~go]] = own[~go]
+                live, own, ranks, at, best = live[go], own[go], ranks[go], at[go], best[go]
+                row = np.arange(len(live))
+            shift = column + (column > at[:, None])
+            shift[shift == width] = width - 1
+            own, ranks = np.take_along_axis(own, shift, 1), np.take_along_axis(ranks, shift, 1)
+            own[:, -1], ranks[:, -1] = -1, NEVER
+            own[row, at] = self.pairs.made[best]
+            left = np.maximum(at - 1, 0)
+            ranks[row, left] = self.pairs.rank(own[row, left], own[row, np.minimum(left + 1, width - 1)])
+            right = np.minimum(at + 1, width - 1)
+            ranks[row, at] = np.where(right > at, self.pairs.rank(own[row, at], own[row, right]), NEVER)
+        return [tuple(r[: k]) for r, k in zip(ids.tolist(), (ids >= 0).sum(axis=1).tolist(), strict=True)]
 
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
         """The same with a queue, for words of any length."""
         n, rank = len(ids), self.rank
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        queue = [(rank[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in rank]  # noqa: B905
+        queue = [(rank[p][0], i, p) for i, p in enumerate(pairwise(ids)) if p in rank]
         heapq.heapify(queue)
         while queue:
             _, i, pair = heapq.heappop(queue)
@@ -195,7 +256,7 @@ class Lexicon:
         place = np.full(len(words), -1, np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         live = np.flatnonzero(sizes <= self.longest)
-        if not len(self.key) or not len(live):
+        if not len(live):
             return place
         text = np.frombuffer(b"".join([words[i] for i in live.tolist()]), np.uint8)
         size = sizes[live]
@@ -207,7 +268,7 @@ class Lexicon:
             place[live[hit]] = total[hit]
             go = ~done
             live, size, start, state, total = live[go], size[go], start[go], state[go], total[go]
-            if not len(live):
+            if not len(live) or not len(self.key):
                 break
             want = state << 8 | text[start + step]
             at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
@@ -230,45 +291,76 @@ def lexicon_of(name: str, data) -> Lexicon:
 class Encoder:
     def __init__(self, vocabulary: Merges, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[int, ...]] = {s: (i,) for s, i in vocabulary.special.items()}
+        self.rare: list[str] = []
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list(words)
-        self.known |= {s: (i,) for s, i in self.vocabulary.special.items()}
-        new = [w for w in new if w not in self.vocabulary.special]
-        raw = [w.encode() for w in new]
-        lex, merge = self.lexicon, self.vocabulary.merge
-        for w, b, p in zip(new, raw, lex.find(raw).tolist(), strict=True):
-            self.known[w] = merge(b) if p < 0 else tuple(lex.ids[lex.offsets[p] : lex.offsets[p + 1]].tolist())
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """Make the ids of words known. Words of the lexicon stay known; merged ones are forgotten if there would be too many."""
+        new = words.difference(self.known)
+        if not new:
+            return
+        if len(self.rare) + len(new) > RARE_WORDS:
+            for w in self.rare:
+                del self.known[w]
+            self.rare = []
+            new = words.difference(self.known)
+        ordered = list(new)
+        raw = [w.encode() for w in ordered]
+        places = self.lexicon.find(raw)
+        unseen = np.flatnonzero(places < 0).tolist()
+        merged = self.vocabulary.merge_all([raw[i] for i in unseen])
+        shared = self.vocabulary.numbers.__getitem__  # one object for each id: what encoding touches stays in the caches
+        self.rare += [ordered[i] for i in unseen]
+        self.known |= {ordered[i]: tuple(map(shared, ids)) for i, ids in zip(unseen, merged, strict=True)}
+        hits = np.flatnonzero(places >= 0)
+        offsets, ids = self.lexicon.offsets, self.lexicon.ids
+        starts, ends = offsets[places[hits]].tolist(), offsets[places[hits] + 1].tolist()
+        for i, a, b in zip(hits.tolist(), starts, ends, strict=True):
+            self.known[ordered[i]] = tuple(map(shared, ids[a:b].tolist()))
+
+    def encode(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """The ids of each text. Words are looked up for some texts at a time, or for parts of a very long one."""
+        group: list[list[str]] = []
+        size = 0
         for text in texts:
-            words = self.vocabulary.pieces(text)
-            for at in range(0, max(1, len(words)), 1 << 20):
-                part = words[at : at + (1 << 20)]
-                missing = set(part).difference(self.known)
-                if missing:
-                    self.learn(missing if len(self.known) + len(missing) <= CACHE_WORDS else set(part))
-                if at == 0:
-                    ids = list(chain.from_iterable(map(self.known.__getitem__, part)))
-                else:
-                    ids.extend(chain.from_iterable(map(self.known.__getitem__, part)))
+            group.append(self.vocabulary.pieces(text))
+            size += len(group[-1])
+            if size >= GROUP_WORDS:
+                yield from self._flush(group)
+                group, size = [], 0
+        yield from self._flush(group)
+
+    def _flush(self, group: list[list[str]]) -> Iterator[list[int]]:
+        if len(group) > 1:
+            self.learn(set(chain.from_iterable(group)))
+        for words in group:
+            ids: list[int] = []
+            for at in range(0, len(words), GROUP_WORDS):
+                part = words[at : at + GROUP_WORDS]
+                if len(group) == 1:
+                    self.learn(set(part))
+                ids.extend(chain.from_iterable(map(self.known.__getitem__, part)))
             yield ids
 
 
 def frequent_words(docs: DataFrame, limit: int) -> list[str]:
-    """The `limit` most frequent words of all documents; ties by the word."""
+    """At most `limit` of the most frequent words of all documents.
+
+    Counts are dealt into levels (eight to a doubling); whole levels are taken from the top as long as they fit, so
+    that no task sends more than its part of them.
+    """
     words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(FREQUENT), F.lit(0))).alias("w"))
-    return [r[0] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(limit).collect()]
+    counted = words.groupBy("w").agg(F.floor(F.log2(F.count("*")) * 8).alias("level"))
+    sizes = counted.groupBy("level").agg(F.count("*").alias("n"))
+    within = sizes.withColumn("sum", F.sum("n").over(Window.orderBy(F.desc("level")))).where(F.col("sum") <= limit)
+    least = within.agg(F.coalesce(F.min("level"), F.lit(1 << 20)).alias("least"))
+    return [r[0] for r in counted.where(F.col("level") >= least.scalar()).select("w").collect()]
 
 
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, lexicon_words: int = 50_000, keep: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, lexicon_words: int = 200_000, keep: bool = False) -> DataFrame:
     """Encode every text of docs (doc_id, text, any other columns) and decode the ids again.
 
     vocabulary: path of a byte-level BPE tokenizer file, as installed on every node. Special tokens written in a
@@ -280,7 +372,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, lexicon_words: int = 50_0
     prepare(spark)
     model = merges(vocabulary)
     frequent = [w.encode() for w in frequent_words(docs, lexicon_words)]
-    data = compile_lexicon((w, model.merge(w)) for w in frequent)
+    data = compile_lexicon(zip(frequent, model.merge_all(frequent), strict=True))
     name, sent = hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
