@@ -85,11 +85,11 @@ def overflow_pages(rest: DataFrame, limit: int, key: str) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, limit: int = 64 << 20, key: str = "doc_id", text: str = "text") -> None:
-    """Write docs to path as Parquet, a folder a shard; keys must tell rows apart.
+    """Write docs to path as Parquet, a folder a shard (named b and its bits, so that none reads as a number); keys must tell rows apart.
 
     A shard has a bounded size, so it is one task's work.
     """
-    shards = assign(docs, limit, key, text).select(F.col(key).alias("_key"), F.col("shard"))
+    shards = assign(docs, limit, key, text).select(F.col(key).alias("_key"), F.concat(F.lit("b"), "shard").alias("shard"))
     own = docs.join(shards, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     own.repartition("shard").write.partitionBy("shard").parquet(path)
 
