@@ -25,7 +25,7 @@ from chronoweave.llm._common import batch_of, prepare
 #: Base kinds, then those confirmed by structure; spans at the same start are listed in this order.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key")
 # The base patterns. A match counts if the group named after it is long enough.
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
