@@ -3,7 +3,7 @@
 Every row has a 60-bit hash of its key. A bucket is a prefix of hash bits; one that is over the byte limit, and only
 that, is split on the next bit, until every bucket fits or holds one row. The directory is built from sums, not rows:
 bytes per prefix of `bits` bits, rolled up to all shorter prefixes; a bucket is the shortest prefix that fits. Prefixes
-that don't fit at full depth are refined by `bits` more in another pass over their rows alone. Rows then find their
+that don't fit at full depth are refined by some more bits in another pass over their rows alone. Rows then find their
 shard by looking the prefix up in the directory.
 
 Rows whose hashes are equal in all bits can't be told apart by splitting. They share a bucket that is divided into
@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from chronoweave.llm._common import checkpoint
 
 HASH_BITS = 60
-#: Directory entries a level; one level's directory has at most 2 ** 16 and may be broadcast.
-LEVEL_BITS = 15
+#: Bits of the first level of the directory, and of each further level below a prefix that doesn't fit there.
+LEVEL_BITS, FINER_BITS = 15, 6
+#: A level of at most so many entries is sent to every task; a larger one is joined.
+SENT_ENTRIES = 1 << 16
 
 
 def hash_bits(key: str):
@@ -33,14 +35,19 @@ def prefix(h: str, bits: int):
 
 
 def leaves(cells: DataFrame, top: int, depth: int, limit: int) -> DataFrame:
-    """Buckets (cell, depth, prefix, n_bytes, n_rows) for each cell (of `depth` bits) of sums (cell, n_bytes, n_rows): its shortest prefix over `top` bits that fits."""
+    """The directory (cell, depth, prefix, n_bytes, n_rows) of sums (cell, n_bytes, n_rows) per `depth` bits: an entry for each cell under a bucket.
+
+    A bucket is a prefix that fits and whose parent doesn't; prefixes start at `top` bits.
+    """
     at = F.explode(F.sequence(F.lit(top), F.lit(depth)))
-    nodes = cells.select("cell", "n_bytes", "n_rows", at.alias("depth")).selectExpr("cell", "n_bytes", "n_rows", "depth", f"shiftright(cell, {depth} - depth) AS prefix")
-    sums = nodes.groupBy("depth", "prefix").agg(F.sum("n_bytes").alias("bucket_bytes"), F.sum("n_rows").alias("bucket_rows"))
-    fits = sums.where((F.col("bucket_bytes") <= limit) | (F.col("bucket_rows") == 1))
-    own = nodes.select("cell", "depth", "prefix").join(fits, ["depth", "prefix"])
-    best = own.groupBy("cell").agg(F.min(F.struct("depth", "prefix", "bucket_bytes", "bucket_rows")).alias("b"))
-    return best.select("cell", "b.depth", "b.prefix", F.col("b.bucket_bytes").alias("n_bytes"), F.col("b.bucket_rows").alias("n_rows"))
+    nodes = cells.select("cell", "n_bytes", "n_rows", at.alias("depth")).selectExpr("n_bytes", "n_rows", "depth", f"shiftright(cell, {depth} - depth) AS prefix")
+    sums = nodes.groupBy("depth", "prefix").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_rows").alias("n_rows"))
+    sums = checkpoint(sums.withColumn("fits", (F.col("n_bytes") <= limit) | (F.col("n_rows") == 1)))
+    split = sums.where("not fits").select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
+    roots = sums.where(F.col("fits") & (F.col("depth") == top))
+    buckets = sums.where("fits").join(split, ["depth", "prefix"], "left_semi").unionByName(roots)
+    under = F.expr(f"explode(sequence(shiftleft(prefix, {depth} - depth), shiftleft(prefix + 1, {depth} - depth) - 1))")
+    return buckets.select(under.alias("cell"), "depth", "prefix", "n_bytes", "n_rows")
 
 
 def assign(docs: DataFrame, limit: int = 64 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -52,18 +59,17 @@ def assign(docs: DataFrame, limit: int = 64 << 20, key: str = "doc_id", text: st
     rows = docs.select(F.col(key), hash_bits(key).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("row_bytes"))
     out, rest, top = None, rows, 0
     while top < HASH_BITS:
-        depth = min(top + LEVEL_BITS, HASH_BITS)
+        depth = min(top + (FINER_BITS if top else LEVEL_BITS), HASH_BITS)
         cells = checkpoint(rest.groupBy(prefix("h", depth).alias("cell")).agg(F.sum("row_bytes").alias("n_bytes"), F.count("*").alias("n_rows")))
         directory = checkpoint(leaves(cells, top, depth, limit))
-        entries = directory.count()
-        small = F.broadcast(directory) if entries <= 1 << 16 else directory
+        small = F.broadcast(directory) if directory.count() <= SENT_ENTRIES else directory
         found = rest.join(small, prefix("h", depth) == F.col("cell"))
         done = found.select(key, "row_bytes", F.lpad(F.bin("prefix"), 60, "0").alias("bits"), "depth", F.col("n_bytes").alias("shard_bytes"), F.col("n_rows").alias("shard_rows"))
         done = done.select(key, "row_bytes", F.expr("right(bits, depth)").alias("shard"), F.col("depth").cast("long"), "shard_bytes", "shard_rows")
         out = done if out is None else out.unionByName(done)
-        if cells.count() == entries:
+        full = cells.where((F.col("n_bytes") > limit) & (F.col("n_rows") > 1)).select(F.col("cell").alias("full"))
+        if full.isEmpty():
             return out
-        full = cells.join(directory, "cell", "left_anti").select(F.col("cell").alias("full"))
         rest = rest.join(full, prefix("h", depth) == F.col("full"), "left_semi")
         top = depth
     return out.unionByName(overflow_pages(rest, limit, key))

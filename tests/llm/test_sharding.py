@@ -26,6 +26,8 @@ def brute(rows, limit):
 @pytest.mark.parametrize("limit", [1, 300, 1000, 5000, 10**9])
 def test_against_brute_force(docs_of, limit, monkeypatch):
     monkeypatch.setattr(extendible_sharding, "LEVEL_BITS", 4)
+    monkeypatch.setattr(extendible_sharding, "FINER_BITS", 3)
+    monkeypatch.setattr(extendible_sharding, "SENT_ENTRIES", 12)
     r = random.Random(3)
     rows = [(i, "x" * r.choice([0, 10, 50, 700])) for i in range(120)]
     got = extendible_sharding.assign(clashing(docs_of(*rows)).drop("row_bytes", "h"), limit)
