@@ -176,3 +176,37 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, all columns as they are."""
     refs = references(docs.select("lang", features(F.col("text"), F.col("lang")).alias("f")))
     return docs.where(let(features(F.col("text"), F.col("lang")), lambda f: verdict(f, refs)["kept"]))
+
+
+def oracle() -> str:
+    """The same counts and verdicts in DuckDB's SQL."""
+    words = ", ".join(f"('{n}', {i}, '{w}')" for n, ws in COMMON.items() for i, w in enumerate(ws))
+    js = "sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, lang, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d),
+x AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+t AS (SELECT r, i, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM x WINDOW o AS (PARTITION BY r ORDER BY i)),
+n AS (SELECT r, i, count(*) OVER (PARTITION BY r, w, w2, w3) > 1 AS twice FROM t WHERE w3 IS NOT NULL),
+c AS (SELECT r, count(DISTINCT i + k)::BIGINT AS n FROM n, range(3) g(k) WHERE twice GROUP BY r),
+l AS (SELECT r, count(*) - count(DISTINCT s) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS s FROM d) WHERE regexp_matches(s, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+b AS (SELECT w.r, doc_id, lang, ws, text, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN l USING (r) LEFT JOIN c USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
+k AS (SELECT r, lang, base_failed, unnest([0, 1, 2, 3, 4, 5, 6]) AS bin, unnest([length(regexp_replace(text, '[^\\p{{Ll}}]', '', 'g')), length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')), length(text) - word_chars, n_symbols,
+  length(regexp_replace(text, '[^\\p{{Nd}}]', '', 'g')), length(regexp_replace(regexp_replace(text, '[#*%&]', '', 'g'), '[^\\p{{P}}]', '', 'g')), NULL]) AS n, length(text) AS total FROM f),
+cls AS (SELECT r, lang, base_failed, bin, coalesce(n, total - sum(n) OVER (PARTITION BY r)) AS n FROM k),
+cw(name, bin, w) AS (VALUES {words}),
+h AS (SELECT r, lower(w) AS w, count(*) AS n FROM x GROUP BY ALL),
+m AS (SELECT r, name, bin, n FROM h JOIN cw USING (w)),
+com AS (SELECT f.r, f.lang, f.base_failed, g.name, g.bin, coalesce(m.n, 0)::BIGINT AS n FROM f CROSS JOIN (SELECT name, bin FROM cw) g LEFT JOIN m ON m.r = f.r AND m.name = g.name AND m.bin = g.bin
+  WHERE f.lang = g.name OR f.lang IS NULL OR f.lang NOT IN (SELECT name FROM cw)),
+com2 AS (SELECT * FROM com UNION ALL SELECT com.r, any_value(com.lang), any_value(com.base_failed), name, 99, any_value(f.n_words) - sum(n) FROM com JOIN f USING (r) GROUP BY com.r, name),
+rc AS (SELECT lang AS name, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM cls WHERE NOT base_failed GROUP BY lang, bin),
+rw AS (SELECT name, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY name) AS q FROM com2 WHERE NOT base_failed AND lang = name GROUP BY name, bin),
+pc AS (SELECT r, bin, n / greatest(sum(n) OVER (PARTITION BY r), 1) AS p FROM cls),
+pw AS (SELECT r, name, bin, n / greatest(sum(n) OVER (PARTITION BY r, name), 1) AS p FROM com2),
+jc AS (SELECT r, name, {js} AS jc FROM pc JOIN rc USING (bin) GROUP BY r, name),
+jw AS (SELECT r, name, {js} AS jw FROM pw JOIN rw USING (name, bin) GROUP BY r, name),
+j AS (SELECT r, arg_min(jc, (jw, jc, name)) AS jc, min(jw) AS jw FROM jw JOIN jc USING (r, name) GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(jw > {WORD_LIMIT} + {WORD_SLACK} / sqrt(greatest(n_words, 1)) OR jc > {CLASS_LIMIT}, false) AS kept FROM f LEFT JOIN j USING (r)"""

@@ -114,6 +114,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from chronoweave.llm import extendible_sharding
+    from chronoweave.llm import extendible_sharding, quality_divergence
 
-    return {"op1_extendible_sharding": extendible_sharding.oracle(SHARD_BYTES), "op9_chat_parts": OP9_SQL}
+    return {"op1_extendible_sharding": extendible_sharding.oracle(SHARD_BYTES), "op3_quality_divergence": quality_divergence.oracle(), "op9_chat_parts": OP9_SQL}

@@ -94,3 +94,14 @@ def test_filter_and_empty(docs_of):
 def test_no_python_in_the_plan(docs_of):
     plan = q.judge(docs_of((1, "x y z")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_against_sql(docs_of):
+    import duckdb
+
+    documents = docs_of(*[r for r in rows_of(5) if r[0] is not None])
+    c = duckdb.connect()
+    c.register("documents", documents.toPandas())
+    want = c.sql(q.oracle()).df().sort_values("doc_id").reset_index(drop=True)
+    got = q.judge(documents).toPandas().sort_values("doc_id").reset_index(drop=True)[list(want.columns)]
+    assert got.to_dict("list") == want.to_dict("list")
