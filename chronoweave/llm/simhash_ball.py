@@ -6,11 +6,19 @@ remaining bits within radius one (half of two): 3 + 42 + 43 + 43 of them. Both o
 meet there when the variants are shuffled. Colliding pairs are verified on all 64 bits. Only distinct fingerprints take
 part, so copies cost nothing here, and from the pairs verified at one variant a spanning forest goes on: it links the
 same documents as all pairs do. Links become components by large-star/small-star.
+
+For a similarity (Jaccard, of shingle sets) instead of a bit distance, a longer fingerprint is cut into blocks, each a
+few bits wider than the number of documents needs. Two texts as similar as asked have some block that differs in two
+bits or fewer (but for `MISSED` of them at most), so there they meet in the middle again: both emit all variants of the
+block within radius one. What meets is verified by the distance of the whole fingerprint and then by the shingle sets
+themselves. Where many meet at one variant, their fingerprints are fetched and a spanning forest is linked.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +35,7 @@ BLOCKS = ((0, 21), (21, 42), (42, 64))
 SEED = 42
 FINGERPRINTS_A_BLOCK = 4096
 ROUTED = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("blob", pa.binary())])
-PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("h", pa.int64())])
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -49,12 +57,19 @@ def fingerprint(text: bytes, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, h) of each row: h is a hash of the text, as Spark's xxhash64 gives it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t or b"", words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], schema=PRINTS)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], schema=PRINTS)
+
+    return hashed(docs).mapInArrow(run, "doc_id long, fp long, h long")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+
+def hashed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
 
 
 def flips() -> tuple[np.ndarray, np.ndarray]:
@@ -142,54 +157,273 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return per_bucket(batches, one)
 
 
-def _components(prints: DataFrame) -> DataFrame:
-    """(fp, least doc_id of the fingerprint, component as a fingerprint) of fingerprints (doc_id, fp)."""
-    distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+# --- by similarity
+
+#: Share of pairs of just the similarity asked for that may fail to meet.
+MISSED = 0.02
+#: Bits of a block beyond the logarithm of the number of documents: unlike texts seldom meet.
+SPARE_BITS = 8
+#: Standard deviations that a like pair's distance may be over its mean.
+SLACK = 2.5
+#: More texts than this at one variant aren't paired there, but linked by their whole fingerprints.
+FEW = 8
+MET = pa.schema([("kind", pa.int32()), ("k", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
+
+
+class Plan:
+    """How the long fingerprint is cut for a number of texts and a similarity."""
+
+    def __init__(self, texts: int, similarity: float):
+        cosine = 2 * similarity / (1 + similarity)
+        self.differ = math.acos(min(1.0, cosine)) / math.pi  # expected share of differing bits
+        self.width = min(40, max(16, math.ceil(math.log2(max(2, texts))) + SPARE_BITS))
+        meet = sum(math.comb(self.width, k) * self.differ**k * (1 - self.differ) ** (self.width - k) for k in range(3))
+        self.blocks = max(4, math.ceil(math.log(MISSED) / math.log(1 - meet))) if meet < 1 else 4
+        self.words = -(-self.blocks * self.width // 64)
+        self.bits = 64 * self.words
+        self.most = int(self.bits * (self.differ + SLACK * math.sqrt(max(self.differ, 1 / self.bits) * (1 - self.differ) / self.bits)))
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Distinct hashes of the text's shingles."""
+    parts = text.lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    starts = np.concatenate([[0], ends[:-1]]).tolist()
+    ends = (ends - 1)[min(words, len(parts)) - 1 :].tolist()
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends)], np.uint64))  # noqa: B905
+
+
+def content_key(text: bytes) -> int:
+    """The same for texts of the same words."""
+    return xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED)
+
+
+def long_print(shingles: np.ndarray, words: int) -> np.ndarray:
+    """64 bits for each of `words` rehashes of the shingles, by majority."""
+    out = np.zeros(words, np.uint64)
+    for j in range(words):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(shingles), 1 << 15):
+            h = mixed(shingles[at : at + (1 << 15)] + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[j] = np.packbits(2 * ones > len(shingles), bitorder="little").view("<u8")[0]
+    return out
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, h) of each row: fp is the content key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([content_key(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], schema=PRINTS)
+
+    return hashed(docs).mapInArrow(run, "doc_id long, fp long, h long")
+
+
+def long_prints(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
+    """(fp, w): one long fingerprint for each content key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or b"" for t in b.column(0).to_pylist()]
+            prints = [long_print(shingle_set(t, words), plan.words).view(np.int64).tolist() for t in texts]
+            keys = np.array([content_key(t) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints, pa.list_(pa.int64()))], names=["fp", "w"])
+
+    return docs.select(F.col("text").cast("binary")).mapInArrow(run, "fp long, w array<long>").groupBy("fp").agg(F.min("w").alias("w"))
+
+
+def block_keys(w: np.ndarray, plan: Plan) -> np.ndarray:
+    """Hashes of all variants of all blocks of the fingerprints w[text, word]: [text, block * (width + 1)]."""
+    bits = np.unpackbits(np.ascontiguousarray(w).view(np.uint8), axis=1, bitorder="little")[:, : plan.blocks * plan.width]
+    values = bits.reshape(len(w), plan.blocks, plan.width).astype(np.uint64) @ (np.uint64(1) << np.arange(plan.width, dtype=np.uint64))
+    flip = np.concatenate([[0], np.uint64(1) << np.arange(plan.width, dtype=np.uint64)]).astype(np.uint64)
+    apart = (np.arange(plan.blocks, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return mixed((values[:, :, None] ^ flip) + apart[:, None]).reshape(len(w), -1)
+
+
+def emit_blocks(plan: Plan, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size, most = 0, 1 << 13
+
+        def flush():
+            fp, w = (np.concatenate(c) for c in zip(*held, strict=True))
+            key = block_keys(w, plan)
+            who, key = np.repeat(fp, key.shape[1]), key.ravel()
+            bucket = bucket_of(key, buckets)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            groups = np.split(order, cuts)
+            short = key.astype(np.uint32)
+            for at in range(0, len(groups), 256):
+                part = groups[at : at + 256]
+                yield batch_of(ROUTED, [0] * len(part), [int(bucket[g[0]]) for g in part], [pack([short[g], who[g]]) for g in part])
+
+        for b in batches:
+            fp = b.column(0).to_numpy(zero_copy_only=False)
+            w = np.array(b.column(1).to_pylist(), np.int64).view(np.uint64).reshape(len(fp), -1)
+            held.append((fp, w))
+            size += len(fp)
+            if size >= most:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    return run
+
+
+def meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of texts that meet (kind 0: u, v), and the members of where many do (kind 1: k, u)."""
+
+    def one(bucket: int, blobs: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = [unpack(x, [np.uint32, np.int64])[0] for x in blobs]
+        key, who = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        key, who = key[order], who[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        pairs = [np.zeros((0, 2), np.int64)]
+        for n in range(2, FEW + 1):
+            own = first[size == n]
+            pairs += [np.stack([who[own + i], who[own + j]], 1) for i in range(n) for j in range(i)]
+        uv = np.sort(np.concatenate(pairs), axis=1)
+        uv = np.unique(uv[uv[:, 0] != uv[:, 1]], axis=0)
+        inside = np.repeat(size > FEW, size)
+        k, u = bucket << 32 | key[inside].astype(np.int64), who[inside]
+        for at in range(0, len(uv) + len(u), 1 << 17):
+            x, y = uv[at : at + (1 << 17)], slice(max(0, at - len(uv)), max(0, at + (1 << 17) - len(uv)))
+            kind = np.repeat(np.array([0, 1], np.int32), [len(x), len(u[y])])
+            none = np.zeros(len(u[y]), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (kind, np.concatenate([np.zeros(len(x), np.int64), k[y]]), np.concatenate([x[:, 0], u[y]]), np.concatenate([x[:, 1], none]))], schema=MET)
+
+    return per_bucket(batches, one, numbered=True)
+
+
+def long_forest(most: int):
+    """Reads (k, u, w) sorted by k: a spanning forest of the texts at each k that are within `most` bits."""
+
+    def links(u: np.ndarray, w: np.ndarray) -> list[tuple[int, int]]:
+        left, out = np.arange(len(u)), []
+        while len(left) > 1:
+            front, left = [left[0]], left[1:]
+            while front and len(left):
+                x = front.pop()
+                near = np.bitwise_count(w[left] ^ w[x]).sum(axis=1) <= most
+                if near.any():
+                    found = left[near].tolist()
+                    front += found
+                    out += [(int(u[x]), int(u[y])) for y in found]
+                    left = left[~near]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, us, ws = None, [], []
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for k, u, w in chain(rows, [(None, 0, [])]):
+            if k != now and us:
+                if edges := links(np.array(us, np.int64), np.array(ws, np.int64).view(np.uint64)):
+                    yield batch_of(EDGES, *zip(*edges, strict=True))
+                us, ws = [], []
+            now = k
+            us.append(u)
+            ws.append(w)
+
+    return run
+
+
+def similar_edges(docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Edges (u, v) between content keys of texts whose shingle sets are as similar as asked."""
+    plan = Plan(prints.count(), similarity)
+    texts = checkpoint(long_prints(docs, words, plan))
+    buckets = partitions_for(texts.count(), FINGERPRINTS_A_BLOCK, 4)
+    met = checkpoint(dealt(texts.mapInArrow(emit_blocks(plan, buckets), "kind int, bucket long, blob binary"), buckets).sortWithinPartitions("bucket").mapInArrow(meet_blocks, "kind int, k long, u long, v long"))
+    a, b = texts.select(F.col("fp").alias("u"), F.col("w").alias("wu")), texts.select(F.col("fp").alias("v"), F.col("w").alias("wv"))
+    apart = F.aggregate(F.zip_with("wu", "wv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    few = met.where("kind = 0").select("u", "v").distinct().join(a, "u").join(b, "v").where(apart <= plan.most).select("u", "v")
+    many = met.where("kind = 1").select("k", "u").join(a, "u").select("k", "u", "wu")
+    linked = many.repartition("k").sortWithinPartitions("k").mapInArrow(long_forest(plan.most), "u long, v long")
+    close = checkpoint(few.union(linked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.array([shingle_set(t or b"", words).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), own], names=["fp", "s"])
+
+    asked = close.select(F.explode(F.array("u", "v")).alias("_asked")).distinct()
+    once = prints.select("fp", "h").join(asked, F.col("fp") == F.col("_asked"), "left_semi").groupBy("fp").agg(F.min("h").alias("h"))
+    found = hashed(docs).join(once, "h").dropDuplicates(["fp"]).select("fp", "text").mapInArrow(sets, "fp long, s array<long>")
+    found = checkpoint(found)
+    both = close.join(found.select(F.col("fp").alias("u"), F.col("s").alias("su")), "u").join(found.select(F.col("fp").alias("v"), F.col("s").alias("sv")), "v")
+    common = F.size(F.array_intersect("su", "sv"))
+    return both.where(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
+
+
+# --- components and what stays
+
+
+def ball_edges(distinct: DataFrame) -> DataFrame:
+    """Edges (u, v) between fingerprints (fp) within RADIUS bits."""
     buckets = partitions_for(distinct.count(), FINGERPRINTS_A_BLOCK, 4)
     variants = distinct.select("fp").mapInArrow(emit_variants(buckets), "kind int, bucket long, blob binary")
-    edges = dealt(variants, buckets).sortWithinPartitions("bucket").mapInArrow(meet, "u long, v long")
-    linked = connected_components(edges)
+    return dealt(variants, buckets).sortWithinPartitions("bucket").mapInArrow(meet, "u long, v long")
+
+
+def _components(prints: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(fp, least doc_id of the fingerprint, component as a fingerprint) of fingerprints (doc_id, fp), linked by edges or else by distance."""
+    distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    linked = connected_components(ball_edges(distinct) if edges is None else edges)
     return distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """Link the documents of docs (doc_id, text, any other columns) whose fingerprints differ in at most three bits.
+def _linked(docs: DataFrame, words: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, fp, h) of docs and the components of their fingerprints."""
+    if similarity is None:
+        rows = checkpoint(fingerprints(docs, words))
+        return rows, _components(rows)
+    rows = checkpoint(keyed_texts(docs))
+    return rows, _components(rows, similar_edges(docs, rows, words, similarity))
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, similarity: float | None = None) -> DataFrame:
+    """Link the near duplicates among docs (doc_id, text, any other columns).
 
     A text's shingles are the runs of `words` words of it, A-Z lower-cased, repeats included; fewer words make one
-    shingle. Returns one row per row of docs: doc_id, fp (the fingerprint as a long), component_id (the smallest
-    doc_id that can be reached over links, its own included). A null text or one without words has fingerprint zero
-    and is linked like any other. Rows without doc_id link as well but name no component; component_id is null if no
-    member has an id. An empty table gives an empty result.
+    shingle. Without similarity, documents are linked whose 64-bit fingerprints differ in at most three bits; with
+    it, those whose sets of shingles have at least that Jaccard similarity (all but about MISSED of pairs just at
+    it are found, fewer are missed above), and those of the same words.
+
+    Returns one row per row of docs: doc_id, fp (the fingerprint as a long, or a content key), component_id (the
+    smallest doc_id that can be reached over links, its own included). A null text or one without words has
+    fingerprint zero and is linked like any other. Rows without doc_id link as well but name no component;
+    component_id is null if no member has an id. An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
-    prints = checkpoint(fingerprints(docs, words))
-    of = _components(prints)
+    rows, of = _linked(docs, words, similarity)
     named = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints.join(of.join(named, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(of.join(named, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 3, similarity: float | None = None) -> DataFrame:
     """The rows of docs that stay when each group of near duplicates keeps one document, that of smallest doc_id.
 
     Rows without doc_id come last; of rows that share the id, that of the least text hash stays, and of rows equal in
     both, one. All columns of docs are kept as they are.
     """
     prepare(docs.sparkSession)
+    rows, of = _linked(docs, words, similarity)
     known = docs.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
     if known[0] == known[1] == known[2]:
-        gone = near_duplicates(docs, words).where("doc_id <> component_id").select("doc_id")
+        named = of.groupBy("component").agg(F.min("least").alias("first"))
+        gone = rows.join(of.join(named, "component").select("fp", "first"), "fp").where("doc_id <> first").select("doc_id")
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.array([fingerprint(t or b"", words) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "h", "fp"])
-
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    key = F.xxhash64(text)
-    rows = checkpoint(docs.select(F.col("doc_id").cast("long"), key.alias("h"), text.alias("text")).mapInArrow(run, "doc_id long, h long, fp long"))
-    of = _components(rows.select("doc_id", "fp"))
     best = rows.join(of, "fp").groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("no"), F.col("doc_id").alias("id"), "h")).alias("b"))
     stay = best.select(F.col("b.id").alias("_stay_id"), F.col("b.h").alias("_stay_h"))
-    once = docs.withColumns({"_stay_key": key, "_stay_doc": F.col("doc_id")}).dropDuplicates(["_stay_doc", "_stay_key"])
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    once = docs.withColumns({"_stay_key": F.xxhash64(text), "_stay_doc": F.col("doc_id")}).dropDuplicates(["_stay_doc", "_stay_key"])
     return once.join(stay, F.col("_stay_doc").eqNullSafe(F.col("_stay_id")) & (F.col("_stay_key") == F.col("_stay_h")), "left_semi").select(*docs.columns)

@@ -411,8 +411,8 @@ def resolve(length: int, buckets: int, doc_buckets: int, round_: int, hot: int):
     return run
 
 
-def per_bucket(batches: Iterator[pa.RecordBatch], one) -> Iterator[pa.RecordBatch]:
-    """Call one(blobs) for each run of rows with the same bucket; blobs are read as they are asked for."""
+def per_bucket(batches: Iterator[pa.RecordBatch], one, numbered: bool = False) -> Iterator[pa.RecordBatch]:
+    """Call one(blobs), or one(bucket, blobs) if numbered, for each run of rows with the same bucket; blobs are read as they are asked for."""
     rows = ((bucket, blob) for b in batches for bucket, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
     ahead = next(rows, None)
     while ahead is not None:
@@ -424,7 +424,7 @@ def per_bucket(batches: Iterator[pa.RecordBatch], one) -> Iterator[pa.RecordBatc
                 blob, ahead = ahead[1], next(rows, None)
                 yield blob
 
-        yield from one(own())
+        yield from one(bucket, own()) if numbered else one(own())
 
 
 def doc_hash(doc: np.ndarray, sub: np.ndarray) -> np.ndarray:

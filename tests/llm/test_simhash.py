@@ -137,3 +137,69 @@ def test_one_of_each(docs_of, plain):
 def test_empty(docs_of):
     none = docs_of((1, "x")).where("false")
     assert simhash_ball.near_duplicates(none).collect() == [] and simhash_ball.one_of_each(none).collect() == []
+
+
+def jaccard(a, b, n=5):
+    sets = []
+    for t in (a, b):
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1])) if any(sets) else 1.0
+
+
+def families(seed, members=6, size=120):
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choices("abcdefg", k=5)) for _ in range(500)]
+    rows = []
+    for _ in range(15):
+        words = r.choices(vocabulary, k=size)
+        for k in range(members):
+            near = list(words)
+            for _ in range(k % 6):
+                near[r.randrange(len(near))] = r.choice(vocabulary)
+            rows.append((len(rows), " ".join(near)))
+    return rows
+
+
+def similar_components(rows):
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {doc: rows[find(i)][0] for i, (doc, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize(("seed", "few"), [(1, 8), (2, 2)])
+def test_by_similarity(docs_of, monkeypatch, seed, few):
+    monkeypatch.setattr(simhash_ball, "FEW", few)
+    rows = [*families(seed), (500, None), (501, ""), (502, "a b"), (503, "A  b"), (504, "lonely")]
+    got = {r.doc_id: r.component_id for r in simhash_ball.near_duplicates(clashing(docs_of(*rows)), words=5, similarity=0.8).collect()}
+    want = similar_components(rows)
+    # whatever is linked is as similar as asked; and nearly all that is so similar is linked
+    for doc, c in got.items():
+        assert want[doc] == want[c]
+    assert sum(got[d] == want[d] for d in want) >= 0.97 * len(want)
+    assert got[500] == got[501] == 500 and got[503] == 502 and got[504] == 504
+
+
+def test_one_of_each_by_similarity(docs_of):
+    rows = families(3)
+    kept = {r.doc_id for r in simhash_ball.one_of_each(docs_of(*rows), words=5, similarity=0.8).collect()}
+    want = set(similar_components(rows).values())
+    assert want <= kept and len(kept) <= len(want) + 0.05 * len(rows)
+    twice = simhash_ball.one_of_each(docs_of(*rows, *rows, (None, rows[0][1]), (None, "alone")), words=5, similarity=0.8).collect()
+    assert len(twice) == len(kept) + 1
+
+
+def test_plan():
+    small, large = simhash_ball.Plan(1000, 0.8), simhash_ball.Plan(10**9, 0.8)
+    assert small.width == 18 and large.width == 38 and large.blocks > small.blocks
+    assert simhash_ball.Plan(10, 1.0).blocks == 4
