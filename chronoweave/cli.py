@@ -10,6 +10,7 @@ import argparse
 import json
 import sys
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +25,7 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     p.add_argument("--path", help="an HCL or JSON file, or a directory of HCL files")
     p.add_argument("--mode", choices=("query", "replay"), default="query")
     p.add_argument("--json", action="store_true", help="print results as JSON")
+    p.add_argument("--out", help="write each result's rows as Parquet below this folder instead of printing them")
     p.add_argument("--merge", action="store_true", help="read all files of a directory as one query")
     p.add_argument("--serve", action="store_true", help="serve HTTP instead")
     p.add_argument("--host", default="127.0.0.1")
@@ -34,13 +36,17 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     return args
 
 
-def run_text(engine: Engine, text: str, mode: str) -> dict:
+def run_text(engine: Engine, text: str, mode: str, out: str | None = None) -> dict:
     is_hcl = hcl.content_kind(text) == "hcl"
     if mode == "replay":
-        replay = hcl.parse_replay(text) if is_hcl else replay_from_json(text)
-        return as_json(engine.replay(replay), replay.timeline_id)
-    query = hcl.parse_query(text) if is_hcl else query_from_json(text)
-    return as_json(engine.query(query), query.timeline_id)
+        spec = hcl.parse_replay(text) if is_hcl else replay_from_json(text)
+        found = engine.replay(spec)
+    else:
+        spec = hcl.parse_query(text) if is_hcl else query_from_json(text)
+        found = engine.query(spec)
+    if out:
+        return {"result": engine.write(found, out), "unit": found.unit, "metadata": found.metadata}
+    return as_json(found, spec.timeline_id)
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -57,7 +63,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     failed = not texts
     for name, text in texts.items():
         try:
-            out = run_text(engine, text, args.mode)
+            out = run_text(engine, text, args.mode, f"{args.out}/{Path(name).stem}" if args.out else None)
         except (SpecError, ValueError) as e:
             print(f"{name}: {e}", file=sys.stderr)
             failed = True

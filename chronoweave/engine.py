@@ -45,10 +45,18 @@ class Engine:
         out.metadata |= {"run": f"{what}-{timeline_id or 'all'}-{time.time_ns()}", "processingMode": mode if mode in MODES else "auto"}
         return out
 
+    def write(self, result: QueryResult, path: str) -> str:
+        """Write a result's rows as Parquet, for results too large to return; gives the path."""
+        if result.df is None:
+            raise ValueError("the result has no rows")
+        result.df.write.mode("overwrite").parquet(path)
+        result.metadata["location"] = path
+        return path
+
     def badge(self, badge: str, user_id: str, start_ns: int, end_ns: int) -> DataFrame:
         """One user's badge over a range; see badges.evaluate for all users at once."""
         badges.validate(user_id, badge, start_ns, end_ns)
-        return badges.evaluate(self.store.load(user_id, (start_ns, end_ns)), badge)
+        return badges.evaluate(self.store.load(user_id, (start_ns, end_ns)), badge, time.time_ns())
 
     def fraud(self, events: DataFrame, window_ns: int = 30 * MINUTE) -> DataFrame:
         return fraud.detect(events, window_ns)

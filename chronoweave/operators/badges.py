@@ -71,8 +71,8 @@ def score_numeric(results: DataFrame, required_ns: int) -> DataFrame:
     return score(best, required_ns)
 
 
-def evaluate(events: DataFrame, badge: str) -> DataFrame:
-    """The badge for every timeline (user) of events: user_id, badge_type, earned, progress, result."""
+def evaluate(events: DataFrame, badge: str, now_ns: int | None = None) -> DataFrame:
+    """The badge for every timeline (user) of events: user_id, badge_type, earned, progress, result, and with now_ns earned_at_ns (null unless earned)."""
     from chronoweave.plans.planner import Planner
 
     if badge not in BADGES:
@@ -80,4 +80,5 @@ def evaluate(events: DataFrame, badge: str) -> DataFrame:
     b = BADGES[badge]
     track = Planner(events).run(b.ops).track
     scored = score_numeric(track.df, b.required_ns) if track.kind == "numeric" else score(track.df, b.required_ns)
-    return scored.select("user_id", F.lit(badge).alias("badge_type"), "earned", "progress", "result")
+    at = [F.when(F.col("earned"), F.lit(now_ns)).cast("long").alias("earned_at_ns")] if now_ns is not None else []
+    return scored.select("user_id", F.lit(badge).alias("badge_type"), "earned", "progress", "result", *at)

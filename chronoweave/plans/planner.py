@@ -33,9 +33,14 @@ class Planned:
 
 
 class Planner:
-    """events: timeline_id, ts_ns, seq, type, value and for price operators attrs. universe: ids for which scalars have a row, those of events by default."""
+    """Plans operations on events: timeline_id, ts_ns, seq, type, value and for price operators attrs.
 
-    def __init__(self, events: DataFrame, universe: DataFrame | None = None, lenient_durations: bool = False, exact_ties: bool = False):
+    universe: ids for which scalars have a row, those of events by default. on_progress: is told of each operation as it
+    is planned (operator_started, operator_completed or operator_failed, at the end orchestrator_completed).
+    """
+
+    def __init__(self, events: DataFrame, universe: DataFrame | None = None, lenient_durations: bool = False, exact_ties: bool = False, on_progress: Callable[[dict[str, Any]], None] | None = None):
+        self.on_progress = on_progress or (lambda event: None)
         self.events, self.lenient, self.exact_ties = events, lenient_durations, exact_ties
         self.universe = universe if universe is not None else events.select("timeline_id").distinct()
         self.tracks: dict[str, Track] = {}
@@ -163,10 +168,20 @@ class Planner:
             self.made[key] = known[op.op](op)
         return self.made[key]
 
+    def tell(self, what: str, done: int, of: int, **more: Any) -> None:
+        self.on_progress({"event_type": what, "timestamp": time.time(), "progress_percent": 100.0 * done / max(1, of), **more})
+
     def run(self, ops: Sequence[Op]) -> Planned:
         last = None
-        for op in ops:
-            last = self.tracks[op.id] = self.plan(op)
+        for n, op in enumerate(ops):
+            self.tell("operator_started", n, len(ops), operator_id=op.id)
+            try:
+                last = self.tracks[op.id] = self.plan(op)
+            except Exception as e:
+                self.tell("operator_failed", n, len(ops), operator_id=op.id, error=str(e))
+                raise
+            self.tell("operator_completed", n + 1, len(ops), operator_id=op.id)
+        self.tell("orchestrator_completed", 1, 1)
         return Planned(self.tracks.get("result", last), self.tracks, self.notes)
 
 

@@ -258,5 +258,35 @@ def test_stream_aggregates(spark, tmp_path):
     assert sorted(r["sum"] for r in spark.sql("select * from windows").collect()) == [3.0, 21.0]
 
 
-def test_hours():
-    assert HOUR == 60 * MINUTE
+def test_progress(session):
+    told = []
+    ops = [Op("a", "HasExisted", source="playerStateChange", equals="play"), Op("b", "nope")]
+    with pytest.raises(PlanError):
+        process(session, ops, on_progress=told.append)
+    assert [(t["event_type"], t.get("operator_id")) for t in told] == [("operator_started", "a"), ("operator_completed", "a"), ("operator_started", "b"), ("operator_failed", "b")]
+    told.clear()
+    process(session, ops[:1], on_progress=told.append)
+    assert told[-1]["event_type"] == "orchestrator_completed" and told[-1]["progress_percent"] == 100.0
+
+
+def test_written_result(engine, spark, tmp_path, capsys):
+    engine.ingest("c", [said(0, "play"), said(1, "buffer"), said(2, "play")])
+    (tmp_path / "q.json").write_text(json.dumps({"timeline_id": "c", **BUFFER}))
+    assert cli.main(["--store", engine.store.path, "--path", str(tmp_path / "q.json"), "--out", str(tmp_path / "out")], spark) == 0
+    assert str(tmp_path / "out" / "q") in capsys.readouterr().out
+    assert spark.read.parquet(str(tmp_path / "out" / "q")).first().value == 60.0
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_plans_shuffle_once(session):
+    from chronoweave.operators import aggregates, finance, intervals, states
+
+    price = json_events.prices(session, "p")
+    for df in (states.latest_event_to_state(session, "play"), states.has_existed_within(session, "play", HOUR), aggregates.moving(price, "avg", HOUR), finance.twap(price, HOUR), finance.rsi(price, HOUR), finance.drawdown(price), finance.position_exposure(price, price)):
+        assert exchanges(df) == 1, df.columns
+    a = states.has_existed_within(session, "play", HOUR)
+    assert "Cartesian" not in intervals.and_([a, intervals.not_(a)])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in intervals.and_([a, a])._jdf.queryExecution().executedPlan().toString()

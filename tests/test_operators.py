@@ -285,5 +285,24 @@ def test_fraud_against_brute_force(spark, seed):
     assert got == brute_fraud(plain, 45 * MINUTE)
 
 
-def test_days():
-    assert DAY == 24 * HOUR
+def test_simulated_customers(spark):
+    """A seeded population: some travel as people do, a few make purchases in several far cities within minutes."""
+    r = random.Random(12345)
+    rows, guilty = [], set()
+    for c in range(97):
+        home = r.choice(sorted(CITY))
+        for k in range(r.randint(5, 12)):
+            rows.append((f"c{c}", home, "in-store", k * 2 * DAY // MINUTE + r.randint(0, 600)))
+        if r.random() < 0.03 or c == 50:
+            guilty.add(f"c{c}")
+            at = r.randint(0, 20 * DAY // MINUTE)
+            far = [x for x in ("NY", "LA", "MI", "SF") if x != home][:3]
+            rows += [(f"c{c}", x, "in-store", at + 3 * i) for i, x in enumerate(far)]
+    import json
+
+    data = []
+    for i, (c, city, kind, minute) in enumerate(rows):
+        name, state, lat, lng = CITY[city]
+        data.append((c, minute * MINUTE, i, "transaction", json.dumps({"city": name, "state": state, "lat": lat, "lng": lng, "type": kind})))
+    got = fraud.detect(spark.createDataFrame(data, EVENTS)).collect()
+    assert len(got) == 97 and {g.timeline_id for g in got if g.fraud_detected} == guilty
