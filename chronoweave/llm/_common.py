@@ -5,7 +5,10 @@ Tables are read through Spark only, so any path that Spark's readers can open wi
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: idle Python workers stay, and would hold it while others work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving its memory back when it is done."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 def partitions_for(total_bytes: int, per_partition: int, least: int = 1) -> int:
     return max(least, -(-int(total_bytes) // per_partition))
 

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.llm._common import LongTable, batch_of, prepare
+from chronoweave.llm._common import LongTable, batch_of, prepare, trimmed
 
 #: Below this code point, the pattern's letter and number classes are the same in every Unicode version in use.
 SETTLED_END = 0x558
@@ -391,4 +391,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, lexicon_words: int = 200_
             if rows:
                 yield batch_of(DIGESTS, *zip(*rows, strict=True))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string")

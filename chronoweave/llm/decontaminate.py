@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm._common import batch_of, prepare
+from chronoweave.llm._common import batch_of, prepare, trimmed
 from chronoweave.llm.suffix_dedup import mixed
 
 NUMBER, UNIT, CAPITAL, STOP = 1, 2, 4, 8
@@ -36,7 +36,7 @@ UNITS = frozenset(
 )
 NUMERIC = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*([%$€£]|[a-z]{1,3})?")
 EDGE = "\"'“”‘’«»()[]{}<>,;:.!?…*#&|%$"
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 250_000
 
 
 def token(word: str) -> tuple[int, int]:
@@ -254,7 +254,7 @@ def _against(docs: DataFrame, bench: Benchmark) -> DataFrame:
             if rows:
                 yield batch_of(LEAKS, *zip(*rows, strict=True))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, n_tokens long, n_slots long, doc_start long, item_start long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, item_id long, n_tokens long, n_slots long, doc_start long, item_start long")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm._common import LongTable, batch_of, prepare
+from chronoweave.llm._common import LongTable, batch_of, prepare, trimmed
 
 #: The vocabulary's mark for the start of a word.
 START = "▁"
@@ -262,4 +262,4 @@ def identify(docs: DataFrame, vocabulary: str, sample_docs: int = 400) -> DataFr
                 names, scores = zip(*found, strict=True)
                 yield batch_of(PREDICTED, b.column(0), b.column(1), names, [s if math.isfinite(s) else 0.0 for s in scores])
 
-    return docs.select(F.col("doc_id").cast("long"), is_held_out(), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), is_held_out(), "text").mapInArrow(trimmed(run), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm._common import batch_of, prepare
+from chronoweave.llm._common import batch_of, prepare, trimmed
 
 #: Base kinds, then those confirmed by structure; spans at the same start are listed in this order.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key")
@@ -194,7 +194,7 @@ def scan(docs: DataFrame) -> DataFrame:
             if rows:
                 yield batch_of(FOUND, *zip(*rows, strict=True))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long>>")
 
 
 def redacted(docs: DataFrame) -> DataFrame:

@@ -31,15 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm._common import batch_of, checkpoint, dealt, pack, partitions_for, prepare, unpack
+from chronoweave.llm._common import batch_of, checkpoint, dealt, pack, partitions_for, prepare, trimmed, unpack
 
 ANCHOR = 20
 SEED_LENGTH = 8
 #: Offsets of the anchor in the window, per round: all of them, then thirds of thirds, then single ones.
 WIDTHS = (81, 27, 9, 3, 1)
-TEXT_CHUNK = 4 << 20
+TEXT_CHUNK = 2 << 20
 ROUTE_TEXT = 16 << 20
-PART_RAW = 48 << 20
+PART_RAW = 32 << 20
 BLOCK_TEXT = 1 << 20
 RECORD = [np.uint64, np.int64, np.uint64, np.int64, np.uint8, np.uint8]
 RUN = [np.int64, np.uint64, np.int64, np.int64]
@@ -532,10 +532,10 @@ def dedup(docs: DataFrame, length: int = 100, hot: int = 20_000, keep_bytes: boo
     buckets, doc_parts = 2 * parts, partitions_for(total, 16 << 20, 4)
     doc_buckets = 2 * doc_parts
     routed_type = "kind int, bucket long, blob binary"
-    records = rows.where(F.octet_length("text") >= length).mapInArrow(emit_records(length, buckets), routed_type)
+    records = rows.where(F.octet_length("text") >= length).mapInArrow(trimmed(emit_records(length, buckets)), routed_type)
     runs, round_ = None, 0
     while True:
-        solved = dealt(records, parts).sortWithinPartitions("bucket").mapInArrow(resolve(length, buckets, doc_buckets, round_, hot), routed_type)
+        solved = dealt(records, parts).sortWithinPartitions("bucket").mapInArrow(trimmed(resolve(length, buckets, doc_buckets, round_, hot)), routed_type)
         solved = checkpoint(solved)
         own = solved.where("kind = 0")
         runs = own if runs is None else runs.unionByName(own)
@@ -543,6 +543,6 @@ def dedup(docs: DataFrame, length: int = 100, hot: int = 20_000, keep_bytes: boo
         round_ += 1
         if round_ == len(WIDTHS) or records.isEmpty():
             break
-    texts = rows.mapInArrow(emit_texts(doc_buckets), routed_type)
+    texts = rows.mapInArrow(trimmed(emit_texts(doc_buckets)), routed_type)
     both = dealt(runs.unionByName(texts), doc_parts).sortWithinPartitions("bucket", "kind")
-    return both.mapInArrow(apply_runs(length, keep_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
+    return both.mapInArrow(trimmed(apply_runs(length, keep_bytes)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
