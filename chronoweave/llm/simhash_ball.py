@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm._common import batch_of, checkpoint, connected_components, dealt, pack, partitions_for, prepare, unpack
+from chronoweave.llm._common import batch_of, checkpoint, connected_components, dealt, pack, partitions_for, prepare, trimmed, unpack
 from chronoweave.llm.suffix_dedup import bucket_of, mixed, per_bucket
 
 RADIUS = 3
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
             fp = np.array([fingerprint(t or b"", words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], schema=PRINTS)
 
-    return hashed(docs).mapInArrow(run, "doc_id long, fp long, h long")
+    return hashed(docs).mapInArrow(trimmed(run), "doc_id long, fp long, h long")
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -167,6 +167,8 @@ SPARE_BITS = 8
 SLACK = 2.5
 #: More texts than this at one variant aren't paired there, but linked by their whole fingerprints.
 FEW = 8
+#: Members of such places a partition.
+MANY_ROWS = 300_000
 MET = pa.schema([("kind", pa.int32()), ("k", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -221,7 +223,7 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
             fp = np.array([content_key(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], schema=PRINTS)
 
-    return hashed(docs).mapInArrow(run, "doc_id long, fp long, h long")
+    return hashed(docs).mapInArrow(trimmed(run), "doc_id long, fp long, h long")
 
 
 def long_prints(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
@@ -234,7 +236,7 @@ def long_prints(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
             keys = np.array([content_key(t) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints, pa.list_(pa.int64()))], names=["fp", "w"])
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(run, "fp long, w array<long>").groupBy("fp").agg(F.min("w").alias("w"))
+    return docs.select(F.col("text").cast("binary")).mapInArrow(trimmed(run), "fp long, w array<long>").groupBy("fp").agg(F.min("w").alias("w"))
 
 
 def block_keys(w: np.ndarray, plan: Plan) -> np.ndarray:
@@ -306,28 +308,44 @@ def meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def long_forest(most: int):
-    """Reads (k, u, w) sorted by k: a spanning forest of the texts at each k that are within `most` bits."""
-
-    def links(u: np.ndarray, w: np.ndarray) -> list[tuple[int, int]]:
-        left, out = np.arange(len(u)), []
-        while len(left) > 1:
-            front, left = [left[0]], left[1:]
-            while front and len(left):
-                x = front.pop()
-                near = np.bitwise_count(w[left] ^ w[x]).sum(axis=1) <= most
-                if near.any():
-                    found = left[near].tolist()
-                    front += found
-                    out += [(int(u[x]), int(u[y])) for y in found]
-                    left = left[~near]
-        return out
+    """Reads (k, u, w) sorted by k: edges of texts at the same k that are within `most` bits, as many as link what those pairs link.
+
+    The texts of a family meet at many k; an edge goes on only if none that went before in this partition links its ends.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            top = x
+            while (up := root.get(top, top)) != top:
+                top = up
+            while x != top:
+                root[x], x = top, root.get(x, top)
+            return top
+
+        def links(u: list[int], w: np.ndarray) -> Iterator[tuple[int, int]]:
+            left = np.arange(len(u))
+            while len(left) > 1:
+                front, left = [int(left[0])], left[1:]
+                while front and len(left):
+                    x = front.pop()
+                    near = np.bitwise_count(w[left] ^ w[x]).sum(axis=1) <= most
+                    if near.any():
+                        found = left[near].tolist()
+                        front += found
+                        left = left[~near]
+                        for y in found:
+                            a, b = find(u[x]), find(u[y])
+                            if a != b:
+                                root[b] = a
+                                yield u[x], u[y]
+
         now, us, ws = None, [], []
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         for k, u, w in chain(rows, [(None, 0, [])]):
             if k != now and us:
-                if edges := links(np.array(us, np.int64), np.array(ws, np.int64).view(np.uint64)):
+                if edges := list(links(us, np.array(ws, np.int64).view(np.uint64))):
                     yield batch_of(EDGES, *zip(*edges, strict=True))
                 us, ws = [], []
             now = k
@@ -342,12 +360,13 @@ def similar_edges(docs: DataFrame, prints: DataFrame, words: int, similarity: fl
     plan = Plan(prints.count(), similarity)
     texts = checkpoint(long_prints(docs, words, plan))
     buckets = partitions_for(texts.count(), FINGERPRINTS_A_BLOCK, 4)
-    met = checkpoint(dealt(texts.mapInArrow(emit_blocks(plan, buckets), "kind int, bucket long, blob binary"), buckets).sortWithinPartitions("bucket").mapInArrow(meet_blocks, "kind int, k long, u long, v long"))
+    met = checkpoint(dealt(texts.mapInArrow(trimmed(emit_blocks(plan, buckets)), "kind int, bucket long, blob binary"), buckets).sortWithinPartitions("bucket").mapInArrow(trimmed(meet_blocks), "kind int, k long, u long, v long"))
     a, b = texts.select(F.col("fp").alias("u"), F.col("w").alias("wu")), texts.select(F.col("fp").alias("v"), F.col("w").alias("wv"))
     apart = F.aggregate(F.zip_with("wu", "wv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     few = met.where("kind = 0").select("u", "v").distinct().join(a, "u").join(b, "v").where(apart <= plan.most).select("u", "v")
     many = met.where("kind = 1").select("k", "u").join(a, "u").select("k", "u", "wu")
-    linked = many.repartition("k").sortWithinPartitions("k").mapInArrow(long_forest(plan.most), "u long, v long")
+    parts = partitions_for(met.where("kind = 1").count(), MANY_ROWS)
+    linked = many.repartitionById(parts, F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")).sortWithinPartitions("k").mapInArrow(trimmed(long_forest(plan.most)), "u long, v long")
     close = checkpoint(few.union(linked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +376,7 @@ def similar_edges(docs: DataFrame, prints: DataFrame, words: int, similarity: fl
 
     asked = close.select(F.explode(F.array("u", "v")).alias("_asked")).distinct()
     once = prints.select("fp", "h").join(asked, F.col("fp") == F.col("_asked"), "left_semi").groupBy("fp").agg(F.min("h").alias("h"))
-    found = hashed(docs).join(once, "h").dropDuplicates(["fp"]).select("fp", "text").mapInArrow(sets, "fp long, s array<long>")
+    found = hashed(docs).join(once, "h").dropDuplicates(["fp"]).select("fp", "text").mapInArrow(trimmed(sets), "fp long, s array<long>")
     found = checkpoint(found)
     both = close.join(found.select(F.col("fp").alias("u"), F.col("s").alias("su")), "u").join(found.select(F.col("fp").alias("v"), F.col("s").alias("sv")), "v")
     common = F.size(F.array_intersect("su", "sv"))
@@ -370,8 +389,8 @@ def similar_edges(docs: DataFrame, prints: DataFrame, words: int, similarity: fl
 def ball_edges(distinct: DataFrame) -> DataFrame:
     """Edges (u, v) between fingerprints (fp) within RADIUS bits."""
     buckets = partitions_for(distinct.count(), FINGERPRINTS_A_BLOCK, 4)
-    variants = distinct.select("fp").mapInArrow(emit_variants(buckets), "kind int, bucket long, blob binary")
-    return dealt(variants, buckets).sortWithinPartitions("bucket").mapInArrow(meet, "u long, v long")
+    variants = distinct.select("fp").mapInArrow(trimmed(emit_variants(buckets)), "kind int, bucket long, blob binary")
+    return dealt(variants, buckets).sortWithinPartitions("bucket").mapInArrow(trimmed(meet), "u long, v long")
 
 
 def _components(prints: DataFrame, edges: DataFrame | None = None) -> DataFrame:
