@@ -366,7 +366,7 @@ def similar_edges(docs: DataFrame, prints: DataFrame, words: int, similarity: fl
     few = met.where("kind = 0").select("u", "v").distinct().join(a, "u").join(b, "v").where(apart <= plan.most).select("u", "v")
     many = met.where("kind = 1").select("k", "u").join(a, "u").select("k", "u", "wu")
     parts = partitions_for(met.where("kind = 1").count(), MANY_ROWS)
-    linked = many.repartitionById(parts, F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")).sortWithinPartitions("k").mapInArrow(trimmed(long_forest(plan.most)), "u long, v long")
+    linked = many.repartitionById(parts, F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")).sortWithinPartitions("k", "u").mapInArrow(trimmed(long_forest(plan.most)), "u long, v long")
     close = checkpoint(few.union(linked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
