@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from chronoweave.llm._common import batch_of, checkpoint, dealt, pack, partitions_for, prepare, trimmed, unpack
 
 ANCHOR = 20
+GRAM_BASE = 0x100000001B3
 SEED_LENGTH = 8
 #: Offsets of the anchor in the window, per round: all of them, then thirds of thirds, then single ones.
 WIDTHS = (81, 27, 9, 3, 1)
@@ -57,7 +58,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def gram_hashes(t: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k bytes of t, by doubling a polynomial one."""
-    base, parts, h, size = 0x100000001B3 | 1, [], t.astype(np.uint64) + np.uint64(1), 1
+    base, parts, h, size = GRAM_BASE, [], t.astype(np.uint64) + np.uint64(1), 1
     while True:
         if k & size:
             parts.append((size, h))
@@ -101,6 +102,15 @@ def anchors(t: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray
     return doc[heads], heads, count, at[heads] - heads, mixed(h[at[heads]] + np.uint64(1))  # least hashes are small: mix again
 
 
+def anchor_keys(text: bytes, at: np.ndarray) -> np.ndarray:
+    """The anchor hashes, as anchors() gives them, of the anchors that start at places of text."""
+    power = np.array([pow(GRAM_BASE, ANCHOR - 1 - i, 1 << 64) for i in range(ANCHOR)], np.uint64)
+    t, out = np.frombuffer(text, np.uint8), np.zeros(len(at), np.uint64)
+    for i in range(ANCHOR):
+        out += (t[at + i].astype(np.uint64) + np.uint64(1)) * power[i]
+    return mixed(mixed(out) + np.uint64(1))
+
+
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -157,7 +167,7 @@ def emit_records(length: int, buckets: int):
             def cut(rows):
                 return b"".join([bufs[i][a:b] for i, a, b in zip(buf[rows].tolist(), head[rows].tolist(), ends[rows].tolist(), strict=True)])
 
-            return routed(0, bucket_of(key, buckets), columns[:-2], cut)
+            return routed(0, bucket_of(key, buckets), columns[1:-2], cut)  # the key can be had from the bytes
 
         for ids, parts, starts in pieces(batches, length):
             buf = b"".join(parts)
@@ -340,6 +350,14 @@ def split_up(r: Records, width: int, length: int) -> Records:
 def resolve(length: int, buckets: int, doc_buckets: int, round_: int, hot: int):
     """Reads record blocks sorted by bucket; gives runs of repeated windows (kind 0), and records of hot anchors cut finer (kind 1)."""
 
+    def received(blob: bytes) -> Records:
+        if round_:
+            return Records(*unpack(blob, RECORD), length)
+        columns, text = unpack(blob, RECORD[1:])
+        r = Records([np.zeros(len(columns[0]), np.uint64), *columns], text, length)
+        r.key = anchor_keys(text, r.begin + r.off)
+        return r
+
     def sent_runs(runs: list[np.ndarray]):
         return routed(0, bucket_of(doc_hash(runs[0], runs[1]), doc_buckets), runs)
 
@@ -385,8 +403,7 @@ def resolve(length: int, buckets: int, doc_buckets: int, round_: int, hot: int):
         held: list[Records] = []
         size, limit, heavy = 0, 2 * PART_RAW, set()
         for blob in blobs:
-            columns, text = unpack(blob, RECORD)
-            r = Records(columns, text, length)
+            r = received(blob)
             if heavy and (known := np.isin(r.key, np.fromiter(heavy, np.uint64))).any():
                 cut = split_up(r.take(np.flatnonzero(known)), WIDTHS[round_ + 1], length)
                 yield from routed(1, bucket_of(cut.key, buckets), [cut.key, cut.doc, cut.sub, cut.first, cut.count, cut.off], cut.bytes_of)
