@@ -221,10 +221,10 @@ def fit(vocabulary: list[str], counts: dict[str, dict[str, int]], rounds: int =
 def labelled_words(docs: DataFrame, learn: Column, sample_docs: int) -> dict[str, dict[str, int]]:
     """Word counts by language over the sample: of the documents of `learn` with a lang, those whose text hash is in the least share that gives about sample_docs."""
     own = docs.where(learn & F.col("lang").isNotNull()).select("lang", "text")
-    totals = own.groupBy("lang").count().orderBy("lang")
+    totals = own.groupBy("lang").count()
     share = F.col("share")
     span = 1 << 30
-    picked = own.join(F.broadcast(totals.select("lang", F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("count")).alias("share")).limit(1000)), "lang")
+    picked = own.join(totals.select("lang", F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("count")).alias("share")), "lang")
     picked = picked.where(F.pmod(F.xxhash64("text"), F.lit(span)) < share * span)
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{LONGEST_WORD}}}"), F.lit(0)))
     out: dict[str, dict[str, int]] = {}
