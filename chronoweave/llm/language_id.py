@@ -37,6 +37,8 @@ CHUNK_WORDS = 4096
 KNOWN_WORDS = 500_000
 GROUP_WORDS = 200_000
 UNDECIDED = "und"
+#: What a model, which every task gets, may hold.
+MOST_LANGUAGES = 2000
 
 
 @lru_cache(maxsize=1)
@@ -224,7 +226,9 @@ def labelled_words(docs: DataFrame, learn: Column, sample_docs: int) -> dict[str
     totals = own.groupBy("lang").count()
     share = F.col("share")
     span = 1 << 30
-    picked = own.join(totals.select("lang", F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("count")).alias("share")), "lang")
+    if totals.count() > MOST_LANGUAGES:
+        raise ValueError(f"a model holds {MOST_LANGUAGES} languages at most")
+    picked = own.join(F.broadcast(totals.select("lang", F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("count")).alias("share"))), "lang")
     picked = picked.where(F.pmod(F.xxhash64("text"), F.lit(span)) < share * span)
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{LONGEST_WORD}}}"), F.lit(0)))
     out: dict[str, dict[str, int]] = {}
