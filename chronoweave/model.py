@@ -17,7 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -49,6 +49,12 @@ class QueryResult:
     metadata: dict[str, Any] = field(default_factory=dict)
 
 
+def slice_of(ts: Column, size: int | Column) -> Column:
+    """floor(ts / size) for BIGINT nanoseconds, exactly: a DOUBLE can't tell instants less than 256 ns apart."""
+    size = size if isinstance(size, Column) else F.lit(size)
+    return F.round((ts - F.pmod(ts, size)) / size).cast("long")
+
+
 def ns(ts) -> Any:
     """Nanoseconds of a TIMESTAMP or TIMESTAMP_NTZ column (the latter read as UTC, if the session is)."""
     return F.unix_micros(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp")) * 1000

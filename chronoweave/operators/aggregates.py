@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from chronoweave.model import slice_of
+
 #: Aggregates by name, of a value column, an order column and a percentage.
 AGGREGATES: dict[str, Callable[[Column, Column, float], Column]] = {
     "sum": lambda v, o, p: F.sum(v),
@@ -52,9 +54,9 @@ def sliced(rows: DataFrame, window_ns: int, slice_ns: int | None, compute: Calla
     if slice_ns is None:
         return compute(rows.withColumn("_own", F.lit(True)), ("timeline_id",)).drop("_own")
     size = max(slice_ns, window_ns)
-    own = F.floor(F.col("ts_ns") / size)
+    own = slice_of(F.col("ts_ns"), size)
     # a row is margin of the next slice only if some window there can reach it
-    reach = F.floor((F.col("ts_ns") + window_ns) / size)
+    reach = slice_of(F.col("ts_ns") + window_ns, size)
     spread = rows.withColumn("_slice", F.explode(F.array_distinct(F.array(own, reach)))).withColumn("_own", F.col("_slice") == own)
     return compute(spread, ("timeline_id", "_slice")).where("_own").drop("_own", "_slice")
 
@@ -98,9 +100,12 @@ def of_array(kind: str, vs: Column, percentile: float = 50.0) -> Column:
 def windowed(prices: DataFrame, windows: DataFrame, kind: str, percentile: float = 50.0) -> DataFrame:
     """The aggregate in each of windows (start_ns, end_ns) for each timeline, stamped with the window's end; empty windows have no row.
 
-    Windows are a range join; over a bounded list of them Spark broadcasts it.
+    Rows meet windows on slices of time as long as the longest window, so the range join is an equality join.
     """
+    size = windows.agg(F.max(F.col("end_ns") - F.col("start_ns"))).first()[0] or 1
+    slices = F.sequence(slice_of(F.col("start_ns"), size), slice_of(F.col("end_ns") - 1, size))
+    own = windows.where("start_ns < end_ns").select("start_ns", "end_ns", F.explode(slices).alias("_slice"))
     hit = (F.col("ts_ns") >= F.col("start_ns")) & (F.col("ts_ns") < F.col("end_ns"))
-    joined = prices.join(windows.select("start_ns", "end_ns"), hit)
+    joined = prices.withColumn("_slice", slice_of(F.col("ts_ns"), size)).join(own, "_slice").where(hit)
     out = joined.groupBy("timeline_id", "start_ns", "end_ns").agg(spec(kind, F.col("value"), percentile).alias("value"), F.count("*").alias("count"))
     return out.select("timeline_id", F.lit(kind).alias("agg_type"), "value", "count", "start_ns", "end_ns", F.col("end_ns").alias("ts_ns"))

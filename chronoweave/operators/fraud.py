@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.model import HOUR, MINUTE
+from chronoweave.model import HOUR, MINUTE, slice_of
 from chronoweave.operators import intervals
 
 EARTH_KM = 6371.0
@@ -60,7 +60,7 @@ def impossible_travel(events: DataFrame, window_ns: int = 30 * MINUTE, config: F
     """
     config = config or FraudConfig()
     seen = places(events)
-    own = F.floor(F.col("ts_ns") / window_ns)
+    own = slice_of(F.col("ts_ns"), window_ns)
     a = seen.withColumn("slice", own).alias("a")
     b = seen.withColumn("slice", F.explode(F.array(own - 1, own, own + 1))).alias("b")
     close = (F.col("a.timeline_id") == F.col("b.timeline_id")) & (F.col("a.slice") == F.col("b.slice")) & (F.col("a.place") < F.col("b.place")) & (F.abs(F.col("a.ts_ns") - F.col("b.ts_ns")) <= window_ns)

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.model import slice_of
+
 BOOL = "timeline_id string, value boolean, start_ns bigint, end_ns bigint"
 
 
@@ -32,7 +34,7 @@ def islands(df: DataFrame, *keys: str) -> DataFrame:
 def sliced_islands(df: DataFrame, slice_ns: int, *keys: str) -> DataFrame:
     """islands() for timelines with very many intervals: merged within slices of time first, so that one hot timeline is many tasks' work."""
     keys = keys or ("timeline_id",)
-    local = islands(df.withColumn("_slice", F.floor(F.col("start_ns") / slice_ns)), *keys, "_slice")
+    local = islands(df.withColumn("_slice", slice_of(F.col("start_ns"), slice_ns)), *keys, "_slice")
     return islands(local, *keys)
 
 

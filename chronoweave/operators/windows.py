@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions.durations import parse_duration
+from chronoweave.model import slice_of
 
 
 @dataclass(frozen=True)
@@ -47,8 +48,8 @@ def in_tumbling(rows: DataFrame, size_ns: int, origin_ns: int = 0) -> DataFrame:
 
 def in_sliding(rows: DataFrame, size_ns: int, slide_ns: int, origin_ns: int = 0) -> DataFrame:
     """rows, once for each sliding window (starts at origin plus multiples of slide, none before origin) that they are in."""
-    last = F.floor((F.col("ts_ns") - origin_ns) / slide_ns)
-    first = F.greatest(F.floor((F.col("ts_ns") - origin_ns - size_ns) / slide_ns) + 1, F.lit(0))
+    last = slice_of(F.col("ts_ns") - origin_ns, slide_ns)
+    first = F.greatest(slice_of(F.col("ts_ns") - origin_ns - size_ns, slide_ns) + 1, F.lit(0).cast("long"))
     out = rows.where(F.col("ts_ns") >= origin_ns).withColumn("_k", F.explode(F.when(first <= last, F.sequence(first, last))))
     return out.withColumn("start_ns", F.lit(origin_ns) + F.col("_k") * slide_ns).withColumn("end_ns", F.col("start_ns") + size_ns).drop("_k")
 
@@ -88,4 +89,4 @@ def top_k(rows: DataFrame, by: str, k: int, *keys: str) -> DataFrame:
 
 def on_weekdays(rows: DataFrame, *days: int) -> DataFrame:
     """Rows of the given days of the week in UTC, Monday is 1."""
-    return rows.where((F.pmod(F.floor(F.col("ts_ns") / (86400 * 10**9)) + 3, F.lit(7)) + 1).isin(*days))
+    return rows.where((F.pmod(slice_of(F.col("ts_ns"), 86400 * 10**9) + 3, F.lit(7)) + 1).isin(*days))

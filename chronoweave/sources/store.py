@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import json_events
 from chronoweave.functions.json_events import Classifier
+from chronoweave.model import slice_of
 
 SCHEMA = "timeline_id string, seq bigint, ts_ns bigint, type string, json string, day date"
 DAY_NS = 86400 * 10**9
@@ -77,4 +78,4 @@ class EventStore:
 
 def day_of(ts_ns) -> Any:
     """The UTC day; the first of 1970 for events without a time."""
-    return F.date_add(F.lit("1970-01-01").cast("date"), F.coalesce(F.floor(ts_ns / DAY_NS), F.lit(0)).cast("int"))
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.coalesce(slice_of(ts_ns, DAY_NS), F.lit(0)).cast("int"))

@@ -168,6 +168,15 @@ def test_windows(spark):
     assert windows.on_weekdays(events(spark, (0, "thu"), (2 * 86400, "sat")), 6, 7).first().value == "sat"
 
 
+def test_slices_are_exact(spark):
+    day, base = DAY, 1_704_067_200 * SECOND
+    rows = spark.createDataFrame([("t", base + d, i, float(i), 0.0, "") for i, d in enumerate((-100, 0, day - 1, day, 2 * day - 1))], PRICES)
+    w = spark.createDataFrame([(base, base + day), (base + day, base + 2 * day)], "start_ns long, end_ns long")
+    assert [(r["count"], r.value) for r in aggregates.windowed(rows, w, "sum").orderBy("start_ns").collect()] == [(2, 3.0), (2, 7.0)]
+    assert [r["count"] for r in aggregates.moving(rows, "sum", 100, slice_ns=day).orderBy("ts_ns").collect()] == [1, 2, 1, 2, 1]
+    assert windows.in_sliding(rows, day, day, base).groupBy("start_ns").count().orderBy("start_ns").select("count").collect() == [(2,), (2,)]
+
+
 def test_finance(spark):
     p = prices(spark, 100, 101, 102, 103)
     assert values(finance.twap(p, 2 * MINUTE)) == [100.5, 101, 102]
