@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm._common import batch_of, prepare
+from chronoweave.llm._common import batch_of, prepare, trimmed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NAMES = ("url_length", "host_length", "path_length", "query_length", "depth", "digit_ratio", "host_entropy", "path_entropy", "parameters", "hyphens", "labels", "suffix_blocked", "domain_blocked")
@@ -174,7 +174,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], sample_urls: int
     split = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(url, F.lit("")).alias("url"), host(url).alias("host"), path(url).alias("path"))
     ruled = split.withColumns({"rule": rule, "verdict": verdict})
     sample = ruled.where("rule is not null").select("url", "host", "path", (F.col("verdict") == "block").alias("b")).distinct()
-    labelled = [tuple(r) for r in sample.orderBy(F.xxhash64("url"), "url").limit(sample_urls).collect()]
+    span, total = 1 << 30, sample.count()
+    share = min(1.0, sample_urls / max(1, total))  # so that each task sends its part of the sample, not a whole one
+    near = sample.where(F.pmod(F.xxhash64("url"), F.lit(span)) < F.lit(int(share * span) + 1))
+    labelled = [tuple(r) for r in near.orderBy(F.xxhash64("url"), "url").limit(sample_urls).collect()]
     sent = pages.sparkSession.sparkContext.broadcast(Filter(labelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,4 +191,4 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], sample_urls: int
                     score[i], verdict[i] = s, "block" if s > 0.5 else "allow"
             yield batch_of(JUDGED, page, name, where, rule, verdict, score)
 
-    return ruled.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, block_score double")
+    return ruled.mapInArrow(trimmed(run), "page_id long, host string, path string, rule string, verdict string, block_score double")
