@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -50,12 +51,18 @@ def trim() -> None:
 
 
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, giving its memory back when it is done."""
+    """run, giving its memory back when it is done.
+
+    The collector of reference cycles is off meanwhile: these functions make none, and its scans of their many small
+    objects took a fifth of the time.
+    """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
         try:
             yield from run(batches)
         finally:
+            gc.enable()
             trim()
 
     return whole
