@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm._common import checkpoint
 
-# Common function words of each language.
+# Common function words of each language, and the marks that stand between items where there is no prose.
+MARKS = ["|", "-", "*", "•"]
 COMMON = {
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden".split(),
-    "en": "the of and to a in is that it for was on with as be by this are at from he or an not".split(),
-    "es": "de la que el en y los se las del con un por no una su para es al lo como más o pero".split(),
-    "fr": "de la le et les des en un du une que est pour qui par dans sur pas au avec il ce plus ne".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden".split() + MARKS,
+    "en": "the of and to a in is that it for was on with as be by this are at from he or an not".split() + MARKS,
+    "es": "de la que el en y los se las del con un por no una su para es al lo como más o pero".split() + MARKS,
+    "fr": "de la le et les des en un du une que est pour qui par dans sur pas au avec il ce plus ne".split() + MARKS,
 }
 #: Character classes, taken out of the text one after the other; what is left over is the last class.
 CLASSES = (r"\p{Ll}+", r"\p{Lu}+", r"[\x20\x09-\x0D]+", r"[#*$%&|<>]+", r"\p{Nd}+", r"\p{P}+")

@@ -23,7 +23,7 @@ def base(t):
 
 
 def prose(r, lang, n=200):
-    common = q.COMMON[lang]
+    common = [w for w in q.COMMON[lang] if w not in q.MARKS]
     return " ".join(r.choice(common) if r.random() < 0.5 else "".join(r.choice("abdeilnorst") for _ in range(r.randint(3, 9))) for _ in range(n))
 
 
