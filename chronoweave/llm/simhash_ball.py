@@ -11,14 +11,13 @@ For a similarity (Jaccard, of shingle sets) instead of a bit distance, a longer
 few bits wider than the number of documents needs. Two texts as similar as asked have some block that differs in two
 bits or fewer (but for `MISSED` of them at most), so there they meet in the middle again: both emit all variants of the
 block within radius one. What meets is verified by the distance of the whole fingerprint and then by the shingle sets
-themselves. Where many meet at one variant, their fingerprints are fetched and a spanning forest is linked.
+themselves. Where many meet at one variant, they are paired in rounds, and only those that no verified pairs link so far.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -165,8 +164,10 @@ MISSED = 0.02
 SPARE_BITS = 8
 #: Standard deviations that a like pair's distance may be over its mean.
 SLACK = 2.5
-#: More texts than this at one variant aren't paired there, but linked by their whole fingerprints.
+#: More texts than this at one variant aren't paired at once, but in rounds.
 FEW = 8
+#: How much further apart the members of such a place are that the next round tests.
+WIDER = 32
 #: Members of such places a partition.
 MANY_ROWS = 300_000
 MET = pa.schema([("kind", pa.int32()), ("k", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
@@ -307,50 +308,46 @@ def meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return per_bucket(batches, one, numbered=True)
 
 
-def long_forest(most: int):
-    """Reads (k, u, w) sorted by k: edges of texts at the same k that are within `most` bits, as many as link what those pairs link.
+def apart(low: int, high: int, near):
+    """Reads (k, u, size, w, c) sorted by k, size, u: pairs `low` up to `high` - 1 rows apart at the same k, of different c, that near allows.
 
-    The texts of a family meet at many k; an edge goes on only if none that went before in this partition links its ends.
+    Over all rounds of `low` and `high` every two rows at a k come up once, and are left out only if their texts are
+    linked already.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            top = x
-            while (up := root.get(top, top)) != top:
-                top = up
-            while x != top:
-                root[x], x = top, root.get(x, top)
-            return top
-
-        def links(u: list[int], w: np.ndarray) -> Iterator[tuple[int, int]]:
-            left = np.arange(len(u))
-            while len(left) > 1:
-                front, left = [int(left[0])], left[1:]
-                while front and len(left):
-                    x = front.pop()
-                    near = np.bitwise_count(w[left] ^ w[x]).sum(axis=1) <= most
-                    if near.any():
-                        found = left[near].tolist()
-                        front += found
-                        left = left[~near]
-                        for y in found:
-                            a, b = find(u[x]), find(u[y])
-                            if a != b:
-                                root[b] = a
-                                yield u[x], u[y]
-
-        now, us, ws = None, [], []
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        for k, u, w in chain(rows, [(None, 0, [])]):
-            if k != now and us:
-                if edges := list(links(us, np.array(ws, np.int64).view(np.uint64))):
-                    yield batch_of(EDGES, *zip(*edges, strict=True))
-                us, ws = [], []
-            now = k
-            us.append(u)
-            ws.append(w)
+        held = [[*(b.column(n).to_numpy() for n in ("k", "u", "size", "c")), b.column("w").flatten().to_numpy().reshape(len(b), -1).view(np.uint64)] for b in batches if len(b)]
+        if not held:
+            return
+        k, u, size, c, w = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        count = np.diff(np.append(first, len(k)))
+        many = (count > low) & (np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first))
+        sent: set[tuple[int, int]] = set()
+
+        def tested(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+            good = near(size[i], size[j], w[i], w[j])
+            new = set(zip(np.minimum(u[i], u[j])[good].tolist(), np.maximum(u[i], u[j])[good].tolist(), strict=True)) - sent
+            if new:
+                sent.update(new)
+                yield batch_of(EDGES, *zip(*new, strict=True))
+
+        for at, n in zip(first[many].tolist(), count[many].tolist(), strict=True):
+            own = c[at : at + n]
+            values, of, members = np.unique(own, return_inverse=True, return_counts=True)
+            rest = np.flatnonzero(of != members.argmax())  # two of the largest component are linked
+            if len(rest) < min(high, n) - low:
+                for x in rest.tolist():
+                    for y in (np.arange(max(0, x - high + 1), max(0, x - low + 1)), np.arange(x + low, min(n, x + high))):
+                        y = y[own[y] != own[x]]
+                        if len(y):
+                            yield from tested(np.full(len(y), at + x), at + y)
+            else:
+                for d in range(low, min(high, n)):
+                    x = at + np.flatnonzero(own[:-d] != own[d:])
+                    if len(x):
+                        yield from tested(x, x + d)
 
     return run
 
@@ -362,25 +359,56 @@ def similar_edges(docs: DataFrame, prints: DataFrame, words: int, similarity: fl
     buckets = partitions_for(texts.count(), FINGERPRINTS_A_BLOCK, 4)
     met = checkpoint(dealt(texts.mapInArrow(trimmed(emit_blocks(plan, buckets)), "kind int, bucket long, blob binary"), buckets).sortWithinPartitions("bucket").mapInArrow(trimmed(meet_blocks), "kind int, k long, u long, v long"))
     a, b = texts.select(F.col("fp").alias("u"), F.col("w").alias("wu")), texts.select(F.col("fp").alias("v"), F.col("w").alias("wv"))
-    apart = F.aggregate(F.zip_with("wu", "wv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    few = met.where("kind = 0").select("u", "v").distinct().join(a, "u").join(b, "v").where(apart <= plan.most).select("u", "v")
-    many = met.where("kind = 1").select("k", "u").join(a, "u").select("k", "u", "wu")
-    parts = partitions_for(met.where("kind = 1").count(), MANY_ROWS)
-    linked = many.repartitionById(parts, F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")).sortWithinPartitions("k", "u").mapInArrow(trimmed(long_forest(plan.most)), "u long, v long")
-    close = checkpoint(few.union(linked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct())
+    differ = F.aggregate(F.zip_with("wu", "wv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    few = met.where("kind = 0").select("u", "v").distinct().join(a, "u").join(b, "v").where(differ <= plan.most).select("u", "v")
+    many = checkpoint(met.where("kind = 1").select("k", "u").distinct().join(texts.select(F.col("fp").alias("u"), F.lit(0).alias("size"), "w"), "u"))
+    asked = met.select(F.explode(F.when(F.col("kind") == 0, F.array("u", "v")).otherwise(F.array("u"))).alias("_asked")).distinct()
+
+    def near(size_a: np.ndarray, size_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(a ^ b).sum(axis=1) <= plan.most
+
+    return linked_in_rounds(few, many, near, verifier(docs, prints, asked, words, similarity))
+
+
+def verifier(docs: DataFrame, prints: DataFrame, asked: DataFrame, words: int, similarity: float):
+    """A function that keeps, of pairs (u, v) of the texts asked for, those whose shingle sets are as similar as asked."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = pa.array([shingle_set(t or b"", words).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), own], names=["fp", "s"])
 
-    asked = close.select(F.explode(F.array("u", "v")).alias("_asked")).distinct()
     once = prints.select("fp", "h").join(asked, F.col("fp") == F.col("_asked"), "left_semi").groupBy("fp").agg(F.min("h").alias("h"))
     found = hashed(docs).join(once, "h").dropDuplicates(["fp"]).select("fp", "text").mapInArrow(trimmed(sets), "fp long, s array<long>")
     found = checkpoint(found)
-    both = close.join(found.select(F.col("fp").alias("u"), F.col("s").alias("su")), "u").join(found.select(F.col("fp").alias("v"), F.col("s").alias("sv")), "v")
-    common = F.size(F.array_intersect("su", "sv"))
-    return both.where(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(found.select(F.col("fp").alias("u"), F.col("s").alias("su")), "u").join(found.select(F.col("fp").alias("v"), F.col("s").alias("sv")), "v")
+        common = F.size(F.array_intersect("su", "sv"))
+        return both.where(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
+
+    return verify
+
+
+def linked_in_rounds(few: DataFrame, many: DataFrame, near, verify) -> DataFrame:
+    """Verified edges (u, v) that link what all verified pairs of few (u, v) and of the members of the same k of many (k, u, size, w) link.
+
+    Each round tests the members of a k that lie some rows apart, further each time, if no verified edges link them so far.
+    """
+    largest = many.groupBy("k").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    parts = partitions_for(many.count(), MANY_ROWS)
+    edges, low, high = None, 1, 2
+    while edges is None or low < largest:
+        if edges is None:
+            of = many.withColumn("c", F.col("u"))
+        else:
+            of = many.join(connected_components(edges).withColumnRenamed("node", "u"), "u", "left").withColumn("c", F.coalesce("component", "u"))
+        placed = of.select("k", "u", "size", "w", "c").repartitionById(parts, F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")).sortWithinPartitions("k", "size", "u")
+        pairs = placed.mapInArrow(trimmed(apart(low, high, near)), "u long, v long")
+        new = checkpoint(verify(checkpoint((few.union(pairs) if edges is None else pairs).distinct())))
+        edges = new if edges is None else checkpoint(edges.union(new))
+        low, high = high, high * WIDER
+    return edges
 
 
 # --- components and what stays

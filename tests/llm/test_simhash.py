@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -203,3 +204,40 @@ def test_plan():
     small, large = simhash_ball.Plan(1000, 0.8), simhash_ball.Plan(10**9, 0.8)
     assert small.width == 18 and large.width == 38 and large.blocks > small.blocks
     assert simhash_ball.Plan(10, 1.0).blocks == 4
+
+
+def test_all_pairs_at_a_place_are_tested_or_linked():
+    r = np.random.default_rng(5)
+    n = 150
+    like = np.zeros((n, n), bool)
+    for _ in range(120):
+        i, j = r.integers(0, n, 2)
+        like[i, j] = like[j, i] = i != j
+    c, done, low, high = np.arange(n), set(), 1, 2
+    while low < n:
+        batch = pa.RecordBatch.from_pydict({"k": np.zeros(n, np.int64), "u": np.arange(n), "size": np.zeros(n, np.int64), "w": pa.array([[0]] * n, pa.list_(pa.int64())), "c": c})
+        for b in simhash_ball.apart(low, high, lambda x, y, a, b: np.ones(len(x), bool))(iter([batch])):
+            for i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                done.add((i, j))
+        for _ in range(n):  # components of the verified pairs
+            for i, j in done:
+                if like[i, j]:
+                    c[i] = c[j] = min(c[i], c[j])
+        low, high = high, high * simhash_ball.WIDER
+    assert all((i, j) in done or c[i] == c[j] for j in range(n) for i in range(j))
+    assert all(c[i] == c[j] for i, j in zip(*np.nonzero(like), strict=True))
+
+
+def test_large_families_by_similarity(docs_of):
+    r = random.Random(9)
+    vocabulary = ["".join(r.choices("abcdefg", k=5)) for _ in range(500)]
+    rows = []
+    for _ in range(2):  # members that are about 0.8 alike, many of them less
+        words = r.choices(vocabulary, k=60)
+        for _ in range(150):
+            near = list(words)
+            for _ in range(r.randrange(1, 4)):
+                near[r.randrange(len(near))] = r.choice(vocabulary)
+            rows.append((len(rows), " ".join(near)))
+    got = {d.doc_id: d.component_id for d in simhash_ball.near_duplicates(docs_of(*rows), words=5, similarity=0.8).collect()}
+    assert got == similar_components(rows)
