@@ -7,11 +7,11 @@ meet there when the variants are shuffled. Colliding pairs are verified on all 6
 part, so copies cost nothing here, and from the pairs verified at one variant a spanning forest goes on: it links the
 same documents as all pairs do. Links become components by large-star/small-star.
 
-For a similarity (Jaccard, of shingle sets) instead of a bit distance, a longer fingerprint is cut into blocks, each a
-few bits wider than the number of documents needs. Two texts as similar as asked have some block that differs in two
-bits or fewer (but for `MISSED` of them at most), so there they meet in the middle again: both emit all variants of the
-block within radius one. What meets is verified by the distance of the whole fingerprint and then by the shingle sets
-themselves. Where many meet at one variant, they are paired in rounds, and only those that no verified pairs link so far.
+For a similarity (Jaccard, of shingle sets) instead of a bit distance, the search is exact: texts meet at their leading
+shingles, in an order common to all texts that puts frequent ones last. As many lead as it takes for two texts as similar
+as asked to share one. What meets is held against two bounds that no like pair exceeds (sizes, and parities of classes of
+shingles) and then against the shingle sets themselves. Where many meet at one shingle, they are paired in rounds, and
+only those that no verified pairs link so far.
 """
 
 from __future__ import annotations
@@ -164,7 +164,13 @@ MISSED = 0.02
 SPARE_BITS = 8
 #: Standard deviations that a like pair's distance may be over its mean.
 SLACK = 2.5
-#: More texts than this at one variant aren't paired at once, but in rounds.
+#: Words of 64 parities for a text; a power of two.
+PARITIES = 8
+#: Texts, roughly, from which frequent shingles are learned, and how many of them at most are sent to every task.
+SAMPLE, MOST_FREQUENT = 20_000, 200_000
+#: Leading shingles that meet in one bucket.
+LEADS_A_BUCKET = 1 << 20
+#: More texts than this at one shingle aren't paired at once, but in rounds.
 FEW = 8
 #: How much further apart the members of such a place are that the next round tests.
 WIDER = 32
@@ -174,7 +180,7 @@ MET = pa.schema([("kind", pa.int32()), ("k", pa.int64()), ("u", pa.int64()), ("v
 
 
 class Plan:
-    """How the long fingerprint is cut for a number of texts and a similarity."""
+    """How a long fingerprint is cut for a number of texts and a similarity. The search by similarity doesn't use it any more."""
 
     def __init__(self, texts: int, similarity: float):
         cosine = 2 * similarity / (1 + similarity)
@@ -204,16 +210,41 @@ def content_key(text: bytes) -> int:
     return xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED)
 
 
-def long_print(shingles: np.ndarray, words: int) -> np.ndarray:
-    """64 bits for each of `words` rehashes of the shingles, by majority."""
-    out = np.zeros(words, np.uint64)
-    for j in range(words):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(shingles), 1 << 15):
-            h = mixed(shingles[at : at + (1 << 15)] + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[j] = np.packbits(2 * ones > len(shingles), bitorder="little").view("<u8")[0]
-    return out
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITIES classes of shingles whether their number is odd: sets differ in at least as many elements as these bits."""
+    return np.packbits(np.bincount((mixed(shingles) & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1, bitorder="little").view("<u8")
+
+
+def leading(shingles: np.ndarray, similarity: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first elements of a set in an order common to all sets, so many that sets as similar as asked share one.
+
+    Of n elements at least similarity * n are shared, so among the first n - that + 1 is one of them, and the first of
+    those that two sets share is so in both. The order is: those not in `frequent` (sorted), then by `rank`.
+    """
+    n = len(shingles)
+    if not n:
+        return shingles
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        shingles = shingles[np.argsort(np.where(frequent[at] == shingles, rank[at] + 1, 0), kind="stable")]
+    return shingles[: min(n, n - math.ceil(similarity * n - 1e-6) + 1)]
+
+
+def frequent_shingles(docs: DataFrame, prints: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several texts of a sample, sorted, and their rank by frequency. They only order the shingles: no result depends on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t or b"", words).view(np.int64))], names=["s"])
+
+    n = prints.count()
+    text = F.col("text").cast("binary")
+    part = docs.select(text.alias("text")).where(F.pmod(F.xxhash64(text), F.lit(1_000_003)) < F.lit(math.ceil(1_000_003 * min(1.0, SAMPLE / max(1, n))))).distinct()
+    top = part.mapInArrow(trimmed(run), "s long").groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).toArrow()
+    s = top.column("s").to_numpy().view(np.uint64)
+    order = np.argsort(s)
+    return s[order], (len(s) - 1 - np.arange(len(s)))[order]
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
@@ -227,37 +258,34 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return hashed(docs).mapInArrow(trimmed(run), "doc_id long, fp long, h long")
 
 
-def long_prints(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
-    """(fp, w): one long fingerprint for each content key."""
+def led_texts(docs: DataFrame, words: int, similarity: float, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """(fp, size, w, lead) of each content key: the number of shingles, their parities and the leading ones."""
+    sent = docs.sparkSession.sparkContext.broadcast((frequent, rank))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or b"" for t in b.column(0).to_pylist()]
-            prints = [long_print(shingle_set(t, words), plan.words).view(np.int64).tolist() for t in texts]
+            own = [shingle_set(t, words) for t in texts]
             keys = np.array([content_key(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints, pa.list_(pa.int64()))], names=["fp", "w"])
-
-    return docs.select(F.col("text").cast("binary")).mapInArrow(trimmed(run), "fp long, w array<long>").groupBy("fp").agg(F.min("w").alias("w"))
+            longs = pa.list_(pa.int64())
+            w = pa.array([parities(x).view(np.int64) for x in own], longs)
+            lead = pa.array([leading(x, similarity, *sent.value).view(np.int64) for x in own], longs)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([len(x) for x in own], pa.int64()), w, lead], names=["fp", "size", "w", "lead"])
 
+    made = docs.select(F.col("text").cast("binary")).mapInArrow(trimmed(run), "fp long, size long, w array<long>, lead array<long>")
+    return made.groupBy("fp").agg(F.min(F.struct("size", "w", "lead")).alias("t")).select("fp", "t.*")
 
-def block_keys(w: np.ndarray, plan: Plan) -> np.ndarray:
-    """Hashes of all variants of all blocks of the fingerprints w[text, word]: [text, block * (width + 1)]."""
-    bits = np.unpackbits(np.ascontiguousarray(w).view(np.uint8), axis=1, bitorder="little")[:, : plan.blocks * plan.width]
-    values = bits.reshape(len(w), plan.blocks, plan.width).astype(np.uint64) @ (np.uint64(1) << np.arange(plan.width, dtype=np.uint64))
-    flip = np.concatenate([[0], np.uint64(1) << np.arange(plan.width, dtype=np.uint64)]).astype(np.uint64)
-    apart = (np.arange(plan.blocks, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    return mixed((values[:, :, None] ^ flip) + apart[:, None]).reshape(len(w), -1)
 
+def emit_leads(buckets: int):
+    """Reads (fp, lead): all leading shingles, packed by bucket."""
 
-def emit_blocks(plan: Plan, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size, most = 0, 1 << 13
+        size, most = 0, 1 << 19
 
         def flush():
-            fp, w = (np.concatenate(c) for c in zip(*held, strict=True))
-            key = block_keys(w, plan)
-            who, key = np.repeat(fp, key.shape[1]), key.ravel()
+            who, key = (np.concatenate(c) for c in zip(*held, strict=True))
+            key = mixed(key)
             bucket = bucket_of(key, buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -268,10 +296,10 @@ def emit_blocks(plan: Plan, buckets: int):
                 yield batch_of(ROUTED, [0] * len(part), [int(bucket[g[0]]) for g in part], [pack([short[g], who[g]]) for g in part])
 
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False)
-            w = np.array(b.column(1).to_pylist(), np.int64).view(np.uint64).reshape(len(fp), -1)
-            held.append((fp, w))
-            size += len(fp)
+            lead = b.column(1)
+            n = np.diff(lead.offsets.to_numpy())
+            held.append((np.repeat(b.column(0).to_numpy(), n), lead.flatten().to_numpy().view(np.uint64)))
+            size += len(held[-1][0])
             if size >= most:
                 yield from flush()
                 held, size = [], 0
@@ -281,7 +309,7 @@ def emit_blocks(plan: Plan, buckets: int):
     return run
 
 
-def meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def meet_leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of texts that meet (kind 0: u, v), and the members of where many do (kind 1: k, u)."""
 
     def one(bucket: int, blobs: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
@@ -353,36 +381,38 @@ def apart(low: int, high: int, near):
 
 
 def similar_edges(docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Edges (u, v) between content keys of texts whose shingle sets are as similar as asked."""
-    plan = Plan(prints.count(), similarity)
-    texts = checkpoint(long_prints(docs, words, plan))
-    buckets = partitions_for(texts.count(), FINGERPRINTS_A_BLOCK, 4)
-    met = checkpoint(dealt(texts.mapInArrow(trimmed(emit_blocks(plan, buckets)), "kind int, bucket long, blob binary"), buckets).sortWithinPartitions("bucket").mapInArrow(trimmed(meet_blocks), "kind int, k long, u long, v long"))
-    a, b = texts.select(F.col("fp").alias("u"), F.col("w").alias("wu")), texts.select(F.col("fp").alias("v"), F.col("w").alias("wv"))
-    differ = F.aggregate(F.zip_with("wu", "wv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    few = met.where("kind = 0").select("u", "v").distinct().join(a, "u").join(b, "v").where(differ <= plan.most).select("u", "v")
-    many = checkpoint(met.where("kind = 1").select("k", "u").distinct().join(texts.select(F.col("fp").alias("u"), F.lit(0).alias("size"), "w"), "u"))
-    asked = met.select(F.explode(F.when(F.col("kind") == 0, F.array("u", "v")).otherwise(F.array("u"))).alias("_asked")).distinct()
+    """Edges (u, v) between content keys that link all texts whose shingle sets are as similar as asked."""
+    texts = checkpoint(led_texts(docs, words, similarity, *frequent_shingles(docs, prints, words)))
+    buckets = partitions_for(texts.agg(F.coalesce(F.sum(F.size("lead")), F.lit(0))).first()[0], LEADS_A_BUCKET, 4)
+    leads = texts.select("fp", "lead").mapInArrow(trimmed(emit_leads(buckets)), "kind int, bucket long, blob binary")
+    met = checkpoint(dealt(leads, buckets).sortWithinPartitions("bucket").mapInArrow(trimmed(meet_leads), "kind int, k long, u long, v long"))
+    # sets that share s of their a and b elements differ in a + b - 2 s, which is at most this share of a + b
+    differing = (1 - similarity) / (1 + similarity)
+    a, b = (texts.select(F.col("fp").alias(x), F.col("size").alias(f"size_{x}"), F.col("w").alias(f"w_{x}")) for x in "uv")
+    differ = F.aggregate(F.zip_with("w_u", "w_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    few = met.where("kind = 0").select("u", "v").distinct().join(a, "u").join(b, "v")
+    few = checkpoint(few.where((F.least("size_u", "size_v") >= similarity * F.greatest("size_u", "size_v") - 1e-6) & (differ <= differing * (F.col("size_u") + F.col("size_v")) + 1e-6)).select("u", "v"))
+    many = checkpoint(met.where("kind = 1").select("k", "u").distinct().join(texts.select(F.col("fp").alias("u"), "size", "w"), "u"))
 
     def near(size_a: np.ndarray, size_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(a ^ b).sum(axis=1) <= plan.most
+        like = np.minimum(size_a, size_b) >= similarity * np.maximum(size_a, size_b) - 1e-6
+        return like & (np.bitwise_count(a ^ b).sum(axis=1) <= differing * (size_a + size_b) + 1e-6)
 
-    return linked_in_rounds(few, many, near, verifier(docs, prints, asked, words, similarity))
+    return linked_in_rounds(few, many, near, verifier(docs, prints, words, similarity))
 
 
-def verifier(docs: DataFrame, prints: DataFrame, asked: DataFrame, words: int, similarity: float):
-    """A function that keeps, of pairs (u, v) of the texts asked for, those whose shingle sets are as similar as asked."""
+def verifier(docs: DataFrame, prints: DataFrame, words: int, similarity: float):
+    """A function that keeps, of pairs (u, v) of content keys, those whose shingle sets are as similar as asked."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = pa.array([shingle_set(t or b"", words).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), own], names=["fp", "s"])
 
-    once = prints.select("fp", "h").join(asked, F.col("fp") == F.col("_asked"), "left_semi").groupBy("fp").agg(F.min("h").alias("h"))
-    found = hashed(docs).join(once, "h").dropDuplicates(["fp"]).select("fp", "text").mapInArrow(trimmed(sets), "fp long, s array<long>")
-    found = checkpoint(found)
-
     def verify(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("u", "v")).alias("_asked")).distinct()
+        once = prints.select("fp", "h").join(asked, F.col("fp") == F.col("_asked"), "left_semi").groupBy("fp").agg(F.min("h").alias("h"))
+        found = checkpoint(hashed(docs).join(once, "h").dropDuplicates(["fp"]).select("fp", "text").mapInArrow(trimmed(sets), "fp long, s array<long>"))
         both = pairs.join(found.select(F.col("fp").alias("u"), F.col("s").alias("su")), "u").join(found.select(F.col("fp").alias("v"), F.col("s").alias("sv")), "v")
         common = F.size(F.array_intersect("su", "sv"))
         return both.where(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
@@ -405,8 +435,10 @@ def linked_in_rounds(few: DataFrame, many: DataFrame, near, verify) -> DataFrame
             of = many.join(connected_components(edges).withColumnRenamed("node", "u"), "u", "left").withColumn("c", F.coalesce("component", "u"))
         placed = of.select("k", "u", "size", "w", "c").repartitionById(parts, F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")).sortWithinPartitions("k", "size", "u")
         pairs = placed.mapInArrow(trimmed(apart(low, high, near)), "u long, v long")
-        new = checkpoint(verify(checkpoint((few.union(pairs) if edges is None else pairs).distinct())))
-        edges = new if edges is None else checkpoint(edges.union(new))
+        pairs = checkpoint((few.union(pairs) if edges is None else pairs).distinct())
+        if edges is None or not pairs.isEmpty():
+            new = verify(pairs)
+            edges = checkpoint(new if edges is None else edges.union(new))
         low, high = high, high * WIDER
     return edges
 
@@ -442,8 +474,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, similarity: float | None =
 
     A text's shingles are the runs of `words` words of it, A-Z lower-cased, repeats included; fewer words make one
     shingle. Without similarity, documents are linked whose 64-bit fingerprints differ in at most three bits; with
-    it, those whose sets of shingles have at least that Jaccard similarity (all but about MISSED of pairs just at
-    it are found, fewer are missed above), and those of the same words.
+    it, those whose sets of shingles have at least that Jaccard similarity, all of them, and those of the same words.
 
     Returns one row per row of docs: doc_id, fp (the fingerprint as a long, or a content key), component_id (the
     smallest doc_id that can be reached over links, its own included). A null text or one without words has
