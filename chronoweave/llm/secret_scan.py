@@ -31,7 +31,9 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{8,})\.(ey[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]+)-----END \1-----")
+# headers of an encrypted key hold hyphens, five in a row only the next line of the armour
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)+)-----END \1-----", re.DOTALL)
+ESCAPED = re.compile(r"\\+(?:[rnt]|\r?\n)")
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{64,}={0,2}")
 LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
 OPENSSH = b"openssh-key-v1\0"
@@ -136,9 +138,10 @@ def holds_key(data: bytes | None) -> bool:
 
 
 def armoured(m: re.Match) -> bool:
-    body = re.sub(r"(?m)^[A-Za-z-]+: .*$", "", m[2])  # headers of an encrypted key
+    lines = re.sub(r"\\+/", "/", ESCAPED.sub("\n", m[2]))  # line ends and slashes written out, as in JSON or source
+    body = re.sub(r"(?m)^[A-Za-z0-9-]+: .*$", "", lines)  # headers of an encrypted key
     data = unbase64(body)
-    return bool(data) and (is_private_key(data) or body != m[2] and len(data) >= 16)
+    return bool(data) and (is_private_key(data) or body != lines and len(data) >= 16)
 
 
 def find(text: str) -> list[tuple[str, int, int]]:

@@ -127,3 +127,28 @@ def test_redaction(docs_of):
     got = {r.doc_id: r for r in s.redacted(documents).collect()}
     assert [got[i].text for i in (1, 2, 3, 4)] == ["a [assign] b", None, "clean", "x [jwt] y"]
     assert got[1].source == "s" and s.redacted(documents).columns == documents.columns
+
+
+@pytest.mark.parametrize("data", [PKCS1, R.randbytes(608)])
+def test_armour_with_headers(data):
+    begin = "-----BEGIN RSA PRIVATE KEY-----\n"
+    key = armour(data, "RSA PRIVATE KEY").replace(begin, begin + "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n")
+    for text in (key, key.replace("\n", "\r\n"), json.dumps(key)[1:-1]):
+        assert [(k, a, b) for k, a, b in s.find(f"a {text} b") if k == "pem"] == [("pem", 2, 2 + len(text))]
+        assert s.redact(f"a {text} b", [x for x in s.find(f"a {text} b") if x[0] == "pem"]) == "a [pem] b"
+
+
+@pytest.mark.parametrize("data", [PKCS1, PKCS8, OPENSSH])
+def test_escaped_armour(data):
+    key = armour(data)
+    file = json.dumps({"type": "service_account", "private_key": key + "\n", "client": "x"})
+    for text in (file, json.dumps(file), file.replace("/", "\\/"), 'k = "' + key.replace("\n", "\\r\\n") + '"', 'k = "' + key.replace("\n", "\\n\\\n") + '"'):
+        spans = [text[a:b] for k, a, b in s.find(text) if k == "pem"]
+        assert len(spans) == 1 and spans[0].startswith("-----BEGIN PRIVATE KEY-----") and spans[0].endswith("-----END PRIVATE KEY-----")
+    assert "pem" not in kinds(json.dumps(armour(element(0x30, NUMBER, NUMBER))))
+
+
+def test_armour_without_end_stays_apart():
+    key = armour(PKCS8)
+    text = "-----BEGIN PRIVATE KEY-----\nAAAA\n" + key
+    assert [(a, b) for k, a, b in s.find(text) if k == "pem"] == [(len(text) - len(key), len(text))]
