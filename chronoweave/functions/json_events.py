@@ -11,11 +11,15 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.model import SECOND
+
 # The keys that may hold a type, a time and a value, in order.
 TYPE_KEYS = ("eventType", "event_type", "type", "action", "event", "messageType")
 TIME_KEYS = ("timestamp", "ts", "time", "eventTime", "event_time")
 VALUE_KEYS = ("value", "state", "action", "status")
 UNKNOWN = "unknown"
+#: What a JSON object begins with.
+OBJECT = r"^[ \t\n\r]*\{"
 RFC3339 = r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})(?:\.(\d+))?(Z|[+-]\d{2}:\d{2})$"
 
 
@@ -43,15 +47,15 @@ def number_at(v: Column, key: str) -> Column:
 
 
 def rfc3339_ns(text: Column) -> Column:
-    """Nanoseconds of an RFC 3339 instant with a zone; null for anything else."""
+    """Nanoseconds of an RFC 3339 instant with a zone; null for anything else, and for instants that a BIGINT can't hold."""
     whole = F.concat_ws("", F.regexp_extract(text, RFC3339, 1), F.lit("T"), F.regexp_extract(text, RFC3339, 2), F.regexp_extract(text, RFC3339, 4))
     seconds = F.unix_seconds(F.try_to_timestamp(F.when(text.rlike(RFC3339), whole)))
-    return seconds * 1_000_000_000 + F.rpad(F.regexp_extract(text, RFC3339, 3), 9, "0").try_cast("long")
+    return F.try_add(F.try_multiply(seconds, F.lit(SECOND)), F.rpad(F.regexp_extract(text, RFC3339, 3), 9, "0").try_cast("long"))
 
 
 def time_at(v: Column, key: str) -> Column:
     unix = number_at(v, key)
-    return F.coalesce(rfc3339_ns(string_at(v, key)), F.when(unix.isNotNull(), unix.try_cast("long") * 1_000_000_000))
+    return F.coalesce(rfc3339_ns(string_at(v, key)), F.try_multiply(unix.try_cast("long"), F.lit(SECOND)))
 
 
 def event_time(v: Column) -> Column:
@@ -63,6 +67,20 @@ def event_type(v: Column) -> Column:
     return F.coalesce(*[string_at(v, k) for k in TYPE_KEYS])
 
 
+def kind(v: Column) -> Column:
+    """The event's type, or the name of the unknown one."""
+    return F.coalesce(event_type(v), F.lit(UNKNOWN))
+
+
+def parsed(raw: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep` and attrs (a VARIANT) of the rows of raw whose json is an object.
+
+    A generator, so that no later filter or projection reads the text again.
+    """
+    objects = raw.where(F.col("json").rlike(OBJECT))
+    return objects.select(*keep, F.explode(F.array(F.try_parse_json("json"))).alias("attrs")).where("attrs is not null")
+
+
 def plain_value(v: Column, kind: Column) -> Column:
     """The first string among the value keys, else the type's name."""
     return F.coalesce(*[string_at(v, k) for k in VALUE_KEYS], kind)
@@ -97,31 +115,32 @@ class Classifier:
 
         now_ns: the instant for events without a usable time. extra: further columns of raw to keep.
         """
-        keep = ["timeline_id", "seq", *extra]
-        objects = F.filter(F.array(F.try_parse_json("json")), lambda v: F.schema_of_variant(v).startswith("OBJECT"))
-        # a generator, so that no later filter or projection parses the text again
-        found = raw.select(*keep, F.explode(F.transform(objects, self._event)).alias("e"))
+        v = F.col("attrs")
+        found = parsed(raw, "timeline_id", "seq", *extra).withColumns({"type": kind(v), "at": event_time(v)})
+        return self._typed(found, now_ns, extra)
+
+    def stored(self, rows: DataFrame, now_ns: int | Column, extra: Sequence[str] = ()) -> DataFrame:
+        """The same of rows (timeline_id, json, seq, ts_ns, type) whose instant and type are known already.
+
+        Filters on them come before the JSON is read.
+        """
+        known = rows.where("type is not null").select("timeline_id", "seq", "type", F.col("ts_ns").alias("at"), *extra, F.explode(F.array(F.try_parse_json("json"))).alias("attrs"))
+        return self._typed(known, now_ns, extra)
+
+    def _typed(self, found: DataFrame, now_ns: int | Column, extra: Sequence[str]) -> DataFrame:
+        """Values and typed columns for (timeline_id, seq, type, at, attrs)."""
+        v, own = F.col("attrs"), F.col("type")
+        value = plain_value(v, own)
+        for name, rule in self.values.items():
+            if rule is not plain_value:
+                value = F.when(own == name, rule(v, own)).otherwise(value)
+        columns: dict[str, list[Column]] = {}
+        for name, fields in self.fields.items():
+            for key, read in fields.items():
+                columns.setdefault(key, []).append(F.when(own == name, read(v, key)))
         now = now_ns if isinstance(now_ns, Column) else F.lit(now_ns)
-        fields = list(dict.fromkeys(k for own in self.fields.values() for k in own))
-        columns = [F.coalesce("e.at", now).cast("long").alias("ts_ns"), "seq", "e.type", "e.value", "e.attrs", F.col("e.at").isNotNull().alias("has_ts")]
-        return found.select("timeline_id", *columns, *[f"e.{k}" for k in fields], *extra)
-
-    def _event(self, v: Column) -> Column:
-        """The struct of everything read from one object."""
-
-        def typed(kind: Column) -> Column:
-            value = plain_value(v, kind)
-            for name, rule in self.values.items():
-                if rule is not plain_value:
-                    value = F.when(kind == name, rule(v, kind)).otherwise(value)
-            columns: dict[str, list[Column]] = {}
-            for name, fields in self.fields.items():
-                for key, read in fields.items():
-                    columns.setdefault(key, []).append(F.when(kind == name, read(v, key)))
-            own = [F.coalesce(*c).alias(k) for k, c in columns.items()]
-            return F.struct(kind.alias("type"), value.alias("value"), v.alias("attrs"), event_time(v).alias("at"), *own)
-
-        return F.transform(F.array(F.coalesce(event_type(v), F.lit(UNKNOWN))), typed)[0]
+        at = [F.coalesce("at", now).cast("long").alias("ts_ns"), "seq", "type", value.alias("value"), "attrs", F.col("at").isNotNull().alias("has_ts")]
+        return found.select("timeline_id", *at, *[F.coalesce(*c).alias(k) for k, c in columns.items()], *extra)
 
 
 def matches(v: Column, filters: dict) -> Column:

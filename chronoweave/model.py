@@ -47,12 +47,33 @@ class QueryResult:
     unit: str = ""
     kind: str = ""
     metadata: dict[str, Any] = field(default_factory=dict)
+    events: DataFrame | None = None
+
+    def count_events(self) -> int:
+        """How many events the result is of: a job of its own, run when first asked for and then kept as eventCount."""
+        if "eventCount" not in self.metadata:
+            self.metadata["eventCount"] = self.events.count() if self.events is not None else 0
+        return self.metadata["eventCount"]
+
+
+#: The last instant, and the longest span, that a BIGINT of nanoseconds holds.
+MOST = 2**63 - 1
+
+
+def plus(ts: Column, delta_ns: int) -> Column:
+    """ts + delta_ns, or the last (first) instant where that lies beyond it."""
+    return F.coalesce(F.try_add(ts, F.lit(delta_ns)), F.when(ts.isNotNull(), F.lit(MOST if delta_ns > 0 else -MOST)))
+
+
+def span(start: Column, end: Column) -> Column:
+    """end - start, or the longest span where that is longer: it takes instants of several centuries."""
+    return F.coalesce(F.try_subtract(end, start), F.when(start.isNotNull() & end.isNotNull(), F.lit(MOST)))
 
 
 def slice_of(ts: Column, size: int | Column) -> Column:
-    """floor(ts / size) for BIGINT nanoseconds, exactly: a DOUBLE can't tell instants less than 256 ns apart."""
+    """floor(ts / size) for BIGINT nanoseconds, in whole numbers: a DOUBLE can't tell instants less than 256 ns apart."""
     size = size if isinstance(size, Column) else F.lit(size)
-    return F.round((ts - F.pmod(ts, size)) / size).cast("long")
+    return F.call_function("div", ts, size) - F.when(ts % size < 0, 1).otherwise(0)
 
 
 def ns(ts) -> Any:

@@ -1,11 +1,12 @@
 """Aggregates of prices: over a timeline, over a trailing window, over given windows.
 
-A trailing window holds the rows j up to i, in (ts_ns, seq) order, with ts_j >= ts_i - w. A RANGE frame also takes in
-later rows of the same instant; where instants may repeat, exact_ties=True takes those out again, at the price of
-holding a window's rows in an array.
+A trailing window holds the rows j up to i, in (ts_ns, seq) order, with ts_j >= ts_i - w. A RANGE frame on the instant
+would also take in later rows of the same instant, so the frame is on a key that tells them apart: twice the instant
+plus a fraction that grows with the row's number. A reach of 2 w + 1 on that key takes in all of the instant ts_i - w,
+whatever its rows' fractions, and none of the one before.
 
-`slice_ns` cuts timelines into slices of at least w, each with the rows of the slice before it as a margin. Then a
-hot timeline is the work of many tasks, at the price of carrying rows twice.
+Timelines are cut into slices of time, each with the last window of the slice before it as a margin, so that a hot
+timeline is the work of many tasks. At SLICE windows a slice, few rows are carried twice.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from chronoweave.model import slice_of
+from chronoweave.model import MOST, SECOND, plus, slice_of, span
 
 #: Aggregates by name, of a value column, an order column and a percentage.
 AGGREGATES: dict[str, Callable[[Column, Column, float], Column]] = {
@@ -45,64 +46,53 @@ def aggregate(prices: DataFrame, kind: str, percentile: float = 50.0) -> DataFra
     return prices.groupBy("timeline_id").agg(spec(kind, F.col("value"), percentile).alias("value"), F.count("*").alias("count"), F.max("ts_ns").alias("ts_ns")).select("timeline_id", F.lit(kind).alias("agg_type"), "value", "count", "ts_ns")
 
 
+#: Windows in a slice, unless slice_ns says otherwise.
+SLICE = 64
+#: The order of rows in a slice, with ties told apart.
+KEY = "_key"
+
+
 def trailing(window_ns: int, *keys: str) -> WindowSpec:
-    return Window.partitionBy(*(keys or ("timeline_id",))).orderBy("ts_ns").rangeBetween(-window_ns, 0)
+    """The window of w up to each row, on rows that have the key of ties."""
+    return Window.partitionBy(*keys).orderBy(KEY).rangeBetween(-min(2 * window_ns + 1, MOST), 0)
+
+
+def keyed(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with the key of ties: fewer than 10^12 rows share the partition keys."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy("ts_ns", "seq"))
+    fraction = n.cast("decimal(12,0)") * F.expr("0.000000000001BD")
+    return rows.withColumn(KEY, (F.col("ts_ns").cast("decimal(20,0)") * F.expr("2BD") + fraction).cast("decimal(35,12)"))
 
 
 def sliced(rows: DataFrame, window_ns: int, slice_ns: int | None, compute: Callable[[DataFrame, tuple[str, ...]], DataFrame]) -> DataFrame:
-    """compute(rows, partition keys) over whole timelines, or over slices with a margin. compute must pass the column _own on."""
-    if slice_ns is None:
-        return compute(rows.withColumn("_own", F.lit(True)), ("timeline_id",)).drop("_own")
-    size = max(slice_ns, window_ns)
+    """compute(rows with the key of ties, partition keys) over slices of timelines with a margin, or whole ones for a slice_ns of 0. compute must pass the column _own on."""
+    size = max(slice_ns, window_ns) if slice_ns else min(SLICE * max(window_ns, SECOND), MOST)
+    if slice_ns == 0 or size >= MOST // 4:
+        return compute(keyed(rows.withColumn("_own", F.lit(True)), "timeline_id"), ("timeline_id",)).drop("_own", KEY)
     own = slice_of(F.col("ts_ns"), size)
     # a row is margin of the next slice only if some window there can reach it
-    reach = slice_of(F.col("ts_ns") + window_ns, size)
+    reach = slice_of(plus(F.col("ts_ns"), window_ns), size)
     spread = rows.withColumn("_slice", F.explode(F.array_distinct(F.array(own, reach)))).withColumn("_own", F.col("_slice") == own)
-    return compute(spread, ("timeline_id", "_slice")).where("_own").drop("_own", "_slice")
+    return compute(keyed(spread, "timeline_id", "_slice"), ("timeline_id", "_slice")).where("_own").drop("_own", "_slice", KEY)
 
 
-def moving(prices: DataFrame, kind: str, window_ns: int, percentile: float = 50.0, slice_ns: int | None = None, exact_ties: bool = False) -> DataFrame:
+def moving(prices: DataFrame, kind: str, window_ns: int, percentile: float = 50.0, slice_ns: int | None = None) -> DataFrame:
     """The aggregate over the trailing window of each row: timeline_id, ts_ns, seq, agg_type, value, count."""
 
     def compute(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         frame = trailing(window_ns, *keys)
-        if not exact_ties:
-            out = {"_v": spec(kind, F.col("value"), percentile).over(frame), "_n": F.count("*").over(frame)}
-            return rows.withColumns(out).drop("value").withColumnsRenamed({"_v": "value", "_n": "count"})
-        held = F.collect_list(F.struct("ts_ns", "seq", "value")).over(frame)
-        mine = F.filter(F.col("_held"), lambda x: (x["ts_ns"] < F.col("ts_ns")) | (x["seq"] <= F.col("seq")))
-        values = F.transform(F.array_sort(mine), lambda x: x["value"])
-        return rows.withColumn("_held", held).withColumn("_vs", values).drop("_held").withColumns({"value": of_array(kind, F.col("_vs"), percentile), "count": F.size("_vs").cast("long")}).drop("_vs")
+        out = {"_v": spec(kind, F.col("value"), percentile).over(frame), "_n": F.count("*").over(frame)}
+        return rows.withColumns(out).drop("value").withColumnsRenamed({"_v": "value", "_n": "count"})
 
     return sliced(prices, window_ns, slice_ns, compute).select("timeline_id", "ts_ns", "seq", F.lit(kind).alias("agg_type"), "value", "count")
 
 
-def of_array(kind: str, vs: Column, percentile: float = 50.0) -> Column:
-    """An aggregate of an array in time order."""
-    n = F.size(vs)
-    total = F.aggregate(vs, F.lit(0.0), lambda a, x: a + x)
-    mean = total / n
-    var = F.aggregate(vs, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-
-    def ranked(p: float) -> Column:
-        s = F.array_sort(vs)
-        at = F.lit(min(max(p, 0.0), 100.0) / 100) * (n - 1)
-        low = F.floor(at).cast("int")
-        a, b = F.get(s, low), F.get(s, F.least(low + 1, n - 1))
-        return a + (b - a) * (at - low)
-
-    return {
-        "sum": total, "avg": mean, "min": F.array_min(vs), "max": F.array_max(vs), "count": n.cast("double"), "variance": var, "stddev": F.sqrt(var),
-        "percentile": ranked(percentile), "median": ranked(50.0), "first": F.get(vs, F.lit(0)), "last": F.get(vs, n - 1),
-    }[kind]
-
-
 def windowed(prices: DataFrame, windows: DataFrame, kind: str, percentile: float = 50.0) -> DataFrame:
     """The aggregate in each of windows (start_ns, end_ns) for each timeline, stamped with the window's end; empty windows have no row.
 
     Rows meet windows on slices of time as long as the longest window, so the range join is an equality join.
     """
-    size = windows.agg(F.max(F.col("end_ns") - F.col("start_ns"))).first()[0] or 1
+    size = windows.agg(F.max(span(F.col("start_ns"), F.col("end_ns")))).first()[0] or 1
     slices = F.sequence(slice_of(F.col("start_ns"), size), slice_of(F.col("end_ns") - 1, size))
     own = windows.where("start_ns < end_ns").select("start_ns", "end_ns", F.explode(slices).alias("_slice"))
     hit = (F.col("ts_ns") >= F.col("start_ns")) & (F.col("ts_ns") < F.col("end_ns"))

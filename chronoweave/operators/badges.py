@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.model import DAY, SECOND
+from chronoweave.model import DAY, SECOND, span
 from chronoweave.plans.spec import Op
 
 
@@ -67,7 +67,7 @@ def score(results: DataFrame, required_ns: int) -> DataFrame:
 
 def score_numeric(results: DataFrame, required_ns: int) -> DataFrame:
     """A numeric timeline is scored by its longest interval."""
-    best = results.groupBy("timeline_id").agg((F.max(F.col("end_ns") - F.col("start_ns")) / SECOND).alias("value"))
+    best = results.groupBy("timeline_id").agg((F.max(span(F.col("start_ns"), F.col("end_ns"))) / SECOND).alias("value"))
     return score(best, required_ns)
 
 

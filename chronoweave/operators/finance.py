@@ -1,4 +1,4 @@
-"""Financial operators on prices. The trailing window of a row includes its left edge; see aggregates.sliced for hot timelines.
+"""Financial operators on prices. The trailing window of a row includes its left edge and of its own instant the rows up to it; see aggregates for slices of hot timelines.
 
 Where a quotient has no divisor the result is null: Spark's ANSI arithmetic would stop the job.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.durations import hours
 from chronoweave.model import by_time
-from chronoweave.operators.aggregates import sliced, trailing
+from chronoweave.operators.aggregates import KEY, sliced, trailing
 from chronoweave.shipping import ship
 
 KEYS = ("timeline_id", "ts_ns", "seq")
@@ -26,7 +26,7 @@ def twap(prices: DataFrame, window_ns: int, slice_ns: int | None = None) -> Data
     """Time-weighted average price by trapezoids; rows with one price in the window have none, and a window of no length takes the last price."""
 
     def compute(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-        order = Window.partitionBy(*keys).orderBy("ts_ns", "seq")
+        order = Window.partitionBy(*keys).orderBy(KEY)
         frame = trailing(window_ns, *keys)
         dt = F.coalesce(F.col("ts_ns") - F.lag("ts_ns").over(order), F.lit(0))
         area = F.coalesce((F.col("value") + F.lag("value").over(order)) / 2 * dt, F.lit(0.0))
@@ -79,9 +79,13 @@ def rsi(prices: DataFrame, window_ns: int) -> DataFrame:
     return out.where((F.col("_n") > 1) & (F.col("_second") > F.col("ts_ns") - window_ns) & F.col("rsi").isNotNull()).select(*KEYS, named("RSI"), F.col("rsi").alias("value"))
 
 
-def rsi_windowed(prices: DataFrame, window_ns: int) -> DataFrame:
+def rsi_windowed(prices: DataFrame, window_ns: int, slice_ns: int | None = None) -> DataFrame:
     """Relative strength over the changes within the trailing window."""
-    out = gains(prices, by_time()).withColumn("rsi", strength(trailing(window_ns)))
+
+    def compute(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        return rows.withColumn("rsi", strength(trailing(window_ns, *keys)))
+
+    out = sliced(gains(prices, by_time()), window_ns, slice_ns, compute)
     return out.where("rsi is not null").select(*KEYS, named("RSIWindowed"), F.col("rsi").alias("value"))
 
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.model import HOUR, MINUTE, slice_of
+from chronoweave.model import HOUR, MINUTE, plus, slice_of, span
 from chronoweave.operators import intervals
 
 EARTH_KM = 6371.0
 PLACE = "city string, state string, lat double, lng double, type string"
+#: Where the reader puts a text that doesn't fit.
+BAD = "_unread"
 
 
 @dataclass(frozen=True)
@@ -26,13 +28,13 @@ class FraudConfig:
 
 
 def places(events: DataFrame) -> DataFrame:
-    """Events with the place in their value: JSON, or else the value is a city and the sale in store."""
-    place = F.from_json("value", PLACE)
-    json_object = F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT")
-    decoded = F.when(F.coalesce(json_object, F.lit(False)), place)
-    text = lambda k, default="": F.when(decoded.isNotNull(), F.coalesce(decoded[k], F.lit(""))).otherwise(default)
-    number = lambda k: F.coalesce(decoded[k], F.lit(0.0))
-    out = events.select("timeline_id", "ts_ns", text("city", F.col("value")).alias("city"), text("state").alias("state"), text("type", F.lit("in-store")).alias("sale"), number("lat").alias("lat"), number("lng").alias("lng"))
+    """Events with the place in their value: a JSON object of PLACE's types, or else the value is a city and the sale in store."""
+    # a generator, so that the text is read once and not for every column and filter
+    read = events.select("timeline_id", "ts_ns", "value", F.explode(F.array(F.from_json("value", f"{PLACE}, {BAD} string", {"columnNameOfCorruptRecord": BAD}))).alias("p"))
+    good = F.col("value").rlike(r"^\s*\{") & F.col(f"p.{BAD}").isNull()
+    text = lambda k, default="": F.when(good, F.coalesce(f"p.{k}", F.lit(""))).otherwise(default)
+    number = lambda k: F.when(good, F.coalesce(f"p.{k}", F.lit(0.0))).otherwise(0.0)
+    out = read.select("timeline_id", "ts_ns", text("city", F.col("value")).alias("city"), text("state").alias("state"), text("type", F.lit("in-store")).alias("sale"), number("lat").alias("lat"), number("lng").alias("lng"))
     return out.withColumn("place", F.lower(F.concat_ws(",", "city", "state", "sale")))
 
 
@@ -47,7 +49,7 @@ def possible(a: str, b: str, config: FraudConfig) -> Column:
     c = lambda side, name: F.col(f"{side}.{name}")
     online = [c(s, "sale") == "online" for s in (a, b)]
     km = distance_km(c(a, "lat"), c(a, "lng"), c(b, "lat"), c(b, "lng"))
-    gap = F.abs(c(a, "ts_ns") - c(b, "ts_ns")) / HOUR
+    gap = span(F.least(c(a, "ts_ns"), c(b, "ts_ns")), F.greatest(c(a, "ts_ns"), c(b, "ts_ns"))) / HOUR
     travel = F.when(km < config.near_km, True).when(gap == 0, km < config.same_place_km).otherwise(km / gap <= config.flying_kmh * config.tolerance)
     return F.when(online[0] & online[1], True).when(online[0] | online[1], False).otherwise(travel)
 
@@ -66,11 +68,12 @@ def impossible_travel(events: DataFrame, window_ns: int = 30 * MINUTE, config: F
     close = (F.col("a.timeline_id") == F.col("b.timeline_id")) & (F.col("a.slice") == F.col("b.slice")) & (F.col("a.place") < F.col("b.place")) & (F.abs(F.col("a.ts_ns") - F.col("b.ts_ns")) <= window_ns)
     pairs = a.join(b, close).where(~possible("a", "b", config)).select("a.timeline_id", F.col("a.place").alias("p1"), F.col("b.place").alias("p2")).distinct()
     sides = pairs.select("timeline_id", "p1", "p2", F.explode(F.array("p1", "p2")).alias("place"))
-    spans = seen.select("timeline_id", "place", F.col("ts_ns").alias("start_ns"), (F.col("ts_ns") + window_ns).alias("end_ns"))
+    spans = seen.select("timeline_id", "place", F.col("ts_ns").alias("start_ns"), plus(F.col("ts_ns"), window_ns).alias("end_ns"))
     active = intervals.islands(spans, "timeline_id", "place")
     both = intervals.covered(sides.join(active, ["timeline_id", "place"]), 2, "timeline_id", "p1", "p2")
-    enough = both.groupBy("timeline_id").agg(F.countDistinct("p1", "p2").alias("n")).where(F.col("n") >= config.least_overlaps)
-    return intervals.as_bool(intervals.islands(both.join(enough, "timeline_id", "left_semi")))
+    nth = F.dense_rank().over(Window.partitionBy("timeline_id").orderBy("p1", "p2"))
+    enough = both.withColumn("_nth", nth).withColumn("_pairs", F.max("_nth").over(Window.partitionBy("timeline_id"))).where(F.col("_pairs") >= config.least_overlaps)
+    return intervals.as_bool(intervals.islands(enough.select("timeline_id", "start_ns", "end_ns")))
 
 
 def detect(events: DataFrame, window_ns: int = 30 * MINUTE, config: FraudConfig | None = None) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.model import SECOND
+from chronoweave.model import SECOND, span
+
+
+def length() -> Column:
+    return span(F.col("start_ns"), F.col("end_ns"))
 
 
 def over(universe: DataFrame, found: DataFrame) -> DataFrame:
@@ -14,15 +18,15 @@ def over(universe: DataFrame, found: DataFrame) -> DataFrame:
 
 def duration_where(df: DataFrame) -> DataFrame:
     """Seconds of the true intervals, summed without merging."""
-    return df.where("value").groupBy("timeline_id").agg((F.sum(F.col("end_ns") - F.col("start_ns")) / SECOND).alias("value"))
+    total = F.sum(length().cast("decimal(20,0)")).cast("double")  # overlapping intervals may add up to more than a BIGINT holds
+    return df.where("value").groupBy("timeline_id").agg((total / SECOND).alias("value"))
 
 
 def longest_true(df: DataFrame, least_ns: int = 0) -> DataFrame:
     """Seconds of the longest true interval of at least least_ns."""
-    size = F.col("end_ns") - F.col("start_ns")
-    return df.where("value").where(size >= least_ns).groupBy("timeline_id").agg((F.max(size) / SECOND).alias("value"))
+    return df.where("value").where(length() >= least_ns).groupBy("timeline_id").agg((F.max(length()) / SECOND).alias("value"))
 
 
 def duration_in_current_state(states: DataFrame) -> DataFrame:
     """Each interval with its seconds as value."""
-    return states.select("timeline_id", ((F.col("end_ns") - F.col("start_ns")) / SECOND).alias("value"), "start_ns", "end_ns")
+    return states.select("timeline_id", (length() / SECOND).alias("value"), "start_ns", "end_ns")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions.durations import parse_duration
-from chronoweave.model import slice_of
+from chronoweave.model import MOST, plus, slice_of, span
 
 
 @dataclass(frozen=True)
@@ -42,8 +42,8 @@ def tumbling_windows(spark: SparkSession, start_ns: int, end_ns: int, size_ns: i
 
 def in_tumbling(rows: DataFrame, size_ns: int, origin_ns: int = 0) -> DataFrame:
     """rows with the [start_ns, end_ns) of their tumbling window, by arithmetic: no join."""
-    start = F.col("ts_ns") - F.pmod(F.col("ts_ns") - origin_ns, F.lit(size_ns))
-    return rows.withColumn("start_ns", start).withColumn("end_ns", F.col("start_ns") + size_ns)
+    past = F.pmod(F.pmod(F.col("ts_ns"), F.lit(size_ns)) - origin_ns % size_ns, F.lit(size_ns))
+    return rows.withColumn("start_ns", F.coalesce(F.try_subtract("ts_ns", past), F.lit(-MOST))).withColumn("end_ns", plus(F.col("start_ns"), size_ns))
 
 
 def in_sliding(rows: DataFrame, size_ns: int, slide_ns: int, origin_ns: int = 0) -> DataFrame:
@@ -58,9 +58,9 @@ def sessions(rows: DataFrame, timeout_ns: int) -> DataFrame:
     """Sessions of each timeline: a gap over the timeout starts a new one; it ends a timeout after its last row."""
     order = Window.partitionBy("timeline_id").orderBy("ts_ns")
     before = F.lag("ts_ns").over(order)
-    fresh = rows.select("timeline_id", "ts_ns", F.when(F.col("ts_ns") - before > timeout_ns, 1).otherwise(0).alias("_new"))
+    fresh = rows.select("timeline_id", "ts_ns", F.when(span(before, F.col("ts_ns")) > timeout_ns, 1).otherwise(0).alias("_new"))
     numbered = fresh.withColumn("session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("timeline_id", "session").agg(F.min("ts_ns").alias("start_ns"), (F.max("ts_ns") + timeout_ns).alias("end_ns"), F.count("*").alias("n_events"))
+    return numbered.groupBy("timeline_id", "session").agg(F.min("ts_ns").alias("start_ns"), plus(F.max("ts_ns"), timeout_ns).alias("end_ns"), F.count("*").alias("n_events"))
 
 
 def within(rows: DataFrame, start_ns: int, end_ns: int) -> DataFrame:

@@ -145,8 +145,8 @@ def test_ties_and_slices_against_brute_force(spark, kind):
         var = sum((v - mean) ** 2 for v in vs) / n
         rank = lambda p: s[int(p * (n - 1))] + (s[min(int(p * (n - 1)) + 1, n - 1)] - s[int(p * (n - 1))]) * (p * (n - 1) % 1)  # noqa: B023, E731
         want[seq] = {"sum": sum(vs), "avg": mean, "min": s[0], "max": s[-1], "count": n, "variance": var, "stddev": var**0.5, "percentile": rank(0.5), "median": rank(0.5), "first": vs[0], "last": vs[-1]}[kind]
-    for slice_ns in (None, 11 * SECOND):
-        got = {x.seq: x.value for x in aggregates.moving(df, kind, w, exact_ties=True, slice_ns=slice_ns).collect()}
+    for slice_ns in (None, 0, 11 * SECOND):
+        got = {x.seq: x.value for x in aggregates.moving(df, kind, w, slice_ns=slice_ns).collect()}
         assert got == pytest.approx(want)
 
 
@@ -199,6 +199,48 @@ def test_finance(spark):
     assert zero[1].value is None
 
 
+def test_finance_where_instants_repeat(spark):
+    rows = [(0, 1.0, 1.0), (10, 2.0, 1.0), (10, 4.0, 2.0), (10, 3.0, 0.0), (15, 8.0, 1.0), (21, 5.0, 1.0)]
+    p = spark.createDataFrame([("t", at * SECOND, i, v, w, "") for i, (at, v, w) in enumerate(rows)], PRICES)
+    w = 10 * SECOND
+
+    def held(i):
+        return [r for r in rows[: i + 1] if r[0] >= rows[i][0] - 10]
+
+    for slice_ns in (None, 0):
+        by_seq = lambda df: {r.seq: r for r in df.collect()}
+        paid = by_seq(finance.vwap(p, w, slice_ns))
+        counted = by_seq(finance.transaction_velocity(p, w, slice_ns))
+        middle = by_seq(finance.bollinger(p, w, slice_ns=slice_ns).where("band = 1"))
+        ratio = by_seq(finance.sharpe(p, w, 0.0, slice_ns))
+        weighted = by_seq(finance.twap(p, w, slice_ns))
+        for i in range(len(rows)):
+            own = held(i)
+            mean = sum(r[1] for r in own) / len(own)
+            deviation = (sum((r[1] - mean) ** 2 for r in own) / len(own)) ** 0.5
+            assert paid[i].value == pytest.approx(sum(r[1] * r[2] for r in own) / sum(r[2] for r in own))
+            assert counted[i]["count"] == len(own) and middle[i].value == pytest.approx(mean)
+            assert (i in ratio) == (deviation > 0) and (i not in ratio or ratio[i].value == pytest.approx(mean / deviation))
+            area = sum((a[1] + b[1]) / 2 * (b[0] - a[0]) for a, b in zip(own, own[1:], strict=False))
+            time = own[-1][0] - own[0][0]
+            assert (i in weighted) == (len(own) > 1) and (i not in weighted or weighted[i].value == pytest.approx(area / time if time else own[-1][1]))
+    assert [r.value for r in finance.vwap(p, w).orderBy("seq").collect()][1] == 1.5
+
+
+def test_instants_at_the_ends_of_the_range(spark):
+    first, last = -(2**63) + 1, 2**63 - 1
+    e = spark.createDataFrame([("t", first, 0, "e", "a"), ("t", 0, 1, "e", "b"), ("t", last, 2, "e", "a")], EVENTS)
+    assert [(r.start_ns, r.end_ns) for r in states.latest_event_to_state(e, "a").orderBy("start_ns").collect()] == [(first, 0), (last, last)]
+    assert [(r.start_ns, r.end_ns) for r in states.has_existed(e, "b").collect()] == [(0, last)]
+    assert [(r.start_ns, r.end_ns) for r in states.has_existed_within(e, "a", HOUR).orderBy("start_ns").collect()] == [(first, first + HOUR), (last, last)]
+    whole = spark.createDataFrame([("t", True, first, last), ("t", True, first, last)], BOOLS)
+    assert reduce.duration_where(whole).first().value == pytest.approx(2 * 2**63 / SECOND)
+    assert reduce.longest_true(whole, DAY).first().value == pytest.approx(2**63 / SECOND)
+    assert windows.sessions(e, HOUR).count() == 3
+    p = e.select("timeline_id", "ts_ns", "seq", F.lit(1.0).alias("value"), F.lit(1.0).alias("volume"), F.lit("").alias("symbol"))
+    assert [r["count"] for r in aggregates.moving(p, "sum", HOUR).collect()] == [1, 1, 1]
+
+
 def test_ema_and_macd(spark):
     vs = [100.0, 101.5, 99.0, 104.25, 103.0, 107.5, 90.0]
     p = prices(spark, *vs).unionByName(prices(spark, 5, 6).withColumn("timeline_id", F.lit("u")))
