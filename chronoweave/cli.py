@@ -30,6 +30,7 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     p.add_argument("--serve", action="store_true", help="serve HTTP instead")
     p.add_argument("--host", default="127.0.0.1")
     p.add_argument("--port", type=int, default=8080)
+    p.add_argument("--batch-events", type=int, default=1000, help="events that the server writes at a time, at least every five seconds")
     args = p.parse_args(argv)
     if not args.serve and not args.path:
         p.error("--path is required")
@@ -55,8 +56,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     engine = Engine(spark, args.store)
     if args.serve:
         from chronoweave.sources.http import server
+        from chronoweave.streaming.batches import MicroBatcher
 
-        with server(engine, args.host, args.port) as s:
+        with MicroBatcher(engine.store, args.batch_events) as batcher, server(engine, args.host, args.port, batcher) as s:
             s.serve_forever()
         return 0
     texts = {args.path: hcl.merged(args.path)} if args.merge else {str(f): f.read_text() for f in hcl.files(args.path)}

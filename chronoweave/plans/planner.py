@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from chronoweave.functions.durations import parse_duration
 from chronoweave.functions.json_events import prices
 from chronoweave.model import QueryResult, Track
-from chronoweave.operators import aggregates, finance, intervals, reduce, states
-from chronoweave.plans.spec import Op
+from chronoweave.operators import aggregates, finance, intervals, reduce, states, windows
+from chronoweave.plans.spec import Op, instant_ns
 
 
 class PlanError(ValueError):
@@ -39,9 +39,9 @@ class Planner:
     is planned (operator_started, operator_completed or operator_failed, at the end orchestrator_completed).
     """
 
-    def __init__(self, events: DataFrame, universe: DataFrame | None = None, lenient_durations: bool = False, exact_ties: bool = False, on_progress: Callable[[dict[str, Any]], None] | None = None):
+    def __init__(self, events: DataFrame, universe: DataFrame | None = None, lenient_durations: bool = False, on_progress: Callable[[dict[str, Any]], None] | None = None):
         self.on_progress = on_progress or (lambda event: None)
-        self.events, self.lenient, self.exact_ties = events, lenient_durations, exact_ties
+        self.events, self.lenient = events, lenient_durations
         self.universe = universe if universe is not None else events.select("timeline_id").distinct()
         self.tracks: dict[str, Track] = {}
         self.made: dict[str, Track] = {}
@@ -126,7 +126,19 @@ class Planner:
         return self.scalar(reduce.longest_true(track.df, self.duration(least) if least else 0))
 
     def moving(self, op: Op, kind: str) -> Track:
-        return Track("aggregate", aggregates.moving(self.priced(op), kind, self.window(op, "5m"), exact_ties=self.exact_ties))
+        return Track("aggregate", aggregates.moving(self.priced(op), kind, self.window(op, "5m"), self.number(op, "percentile", 50.0)))
+
+    def windowed(self, op: Op) -> Track:
+        """Windows of `window`, every `slide` (the window's own size by default), from `start` to `end`."""
+        size = self.window(op, "5m")
+        start, end = (instant_ns(self.text(op, n)) for n in ("start", "end"))
+        spans = windows.sliding_windows(self.events.sparkSession, start, end, size, self.window(op, self.text(op, "window", "5m"), "slide"))
+        return Track("aggregate", aggregates.windowed(self.priced(op), spans, self.text(op, "aggregation", "avg"), self.number(op, "percentile", 50.0)))
+
+    def exposure(self, op: Op) -> Track:
+        """Positions are the events of `source`, prices those of the parameter price_source."""
+        position, price = (prices(states.of_type(self.events, t), self.text(op, "value_field")) for t in (op.source, self.text(op, "price_source")))
+        return self.metric(finance.position_exposure(position, price))
 
     def metric(self, df: DataFrame) -> Track:
         return Track("metric", df)
@@ -155,6 +167,16 @@ class Planner:
             "MovingSum": lambda o: self.moving(o, "sum"),
             "MovingMax": lambda o: self.moving(o, "max"),
             "MovingMin": lambda o: self.moving(o, "min"),
+            "MovingCount": lambda o: self.moving(o, "count"),
+            "MovingVariance": lambda o: self.moving(o, "variance"),
+            "MovingStdDev": lambda o: self.moving(o, "stddev"),
+            "MovingPercentile": lambda o: self.moving(o, "percentile"),
+            "MovingMedian": lambda o: self.moving(o, "median"),
+            "MovingFirst": lambda o: self.moving(o, "first"),
+            "MovingLast": lambda o: self.moving(o, "last"),
+            "WindowedAggregate": self.windowed,
+            "EMA": lambda o: self.metric(finance.ema(self.priced(o), self.window(o, "12m", "period"))),
+            "PositionExposure": self.exposure,
             "Percentile": lambda o: Track("aggregate", aggregates.aggregate(self.priced(o), "percentile", self.number(o, "percentile", 50.0))),
             "Complement": lambda o: Track("bool", intervals.complement(self.nested(o, "bool"))),
         }
@@ -191,5 +213,5 @@ def process(events: DataFrame, ops: Sequence[Op], **options: Any) -> QueryResult
     planned = planner.run(ops)
     info = {"operationCount": len(ops), "processedAt": time.time(), "notes": planned.notes}
     if planned.track is None:
-        return QueryResult(planner.universe.select("timeline_id", F.lit(0).alias("value")), "", "none", info)
-    return QueryResult(planned.track.df, planned.track.unit, planned.track.kind, info)
+        return QueryResult(planner.universe.select("timeline_id", F.lit(0).alias("value")), "", "none", info, events)
+    return QueryResult(planned.track.df, planned.track.unit, planned.track.kind, info, events)

@@ -12,13 +12,17 @@ from typing import Any
 from chronoweave.engine import Engine, as_json
 from chronoweave.plans import hcl
 from chronoweave.plans.spec import SpecError, query_from_json, replay_from_json
+from chronoweave.streaming.batches import MicroBatcher
 
 ROUTE = re.compile(r"/timelines/([^/]+)/(events|query|replay_query)")
 log = logging.getLogger(__name__)
 
 
-def respond(engine: Engine, method: str, path: str, body: bytes, content_type: str = "") -> tuple[int, dict[str, Any]]:
-    """Status and JSON body of a request: 202 for ingest, 200 for results, 400 for what can't be read, 500 for what fails."""
+def respond(engine: Engine, method: str, path: str, body: bytes, content_type: str = "", batcher: MicroBatcher | None = None) -> tuple[int, dict[str, Any]]:
+    """Status and JSON body of a request: 202 for ingest, 200 for results, 400 for what can't be read, 500 for what fails.
+
+    With a batcher events are written some at a time, and what it holds is written before a query.
+    """
     path = path.partition("?")[0]
     if path == "/health":
         return (200, {"status": "healthy", "time": datetime.now(timezone.utc).isoformat()}) if method == "GET" else (405, {"error": "method not allowed"})
@@ -43,18 +47,20 @@ def respond(engine: Engine, method: str, path: str, body: bytes, content_type: s
         return 400, {"error": str(e)}
     try:
         if what == "events":
-            return 202, {"timeline_id": timeline_id, "status": "accepted", "event_count": engine.ingest(timeline_id, events)}
+            return 202, {"timeline_id": timeline_id, "status": "accepted", "event_count": batcher.add(timeline_id, events) if batcher else engine.ingest(timeline_id, events)}
+        if batcher:
+            batcher.flush("query")
         return 200, as_json(engine.query(spec) if what == "query" else engine.replay(spec), timeline_id)
     except Exception as e:
         log.exception("%s of %s failed", what, timeline_id)
         return 500, {"error": str(e).splitlines()[0] if str(e) else type(e).__name__}
 
 
-def server(engine: Engine, host: str = "127.0.0.1", port: int = 8080) -> ThreadingHTTPServer:
+def server(engine: Engine, host: str = "127.0.0.1", port: int = 8080, batcher: MicroBatcher | None = None) -> ThreadingHTTPServer:
     class Handler(BaseHTTPRequestHandler):
         def answer(self) -> None:
             body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
-            status, out = respond(engine, self.command, self.path, body, self.headers.get("Content-Type") or "")
+            status, out = respond(engine, self.command, self.path, body, self.headers.get("Content-Type") or "", batcher)
             data = json.dumps(out, default=str).encode()
             self.send_response(status)
             self.send_header("Content-Type", "application/json")

@@ -13,24 +13,39 @@ from pyspark.sql.streaming import StreamingQuery
 
 from chronoweave.sources.store import EventStore
 
-#: A micro-batch is due after this time; sources take the row limit as an option of their own.
+#: A micro-batch is due after this time; sources take the row limit as an option of their own (see also batches.MicroBatcher).
 TRIGGER = "5 seconds"
 #: Bits of seq that number the rows of a batch.
-BATCH_BITS = 40
+BATCH_BITS = 36
 
 
-def ingest_stream(raw: DataFrame, store: EventStore, checkpoint: str, trigger: str | None = TRIGGER, available_now: bool = False) -> StreamingQuery:
+def numbered(batch: DataFrame, first: int) -> DataFrame:
+    """batch with seq: first and on, by partition and place in it, without gaps. Takes one count of its partitions."""
+    part = F.spark_partition_id()
+    sizes = sorted((r["p"], r["count"]) for r in batch.groupBy(part.alias("p")).count().collect())
+    offsets, at = [], first
+    for p, n in sizes:
+        offsets += [F.lit(p), F.lit(at)]
+        at += n
+    if not offsets:
+        return batch.withColumn("seq", F.lit(first))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return batch.withColumn("seq", F.element_at(F.create_map(*offsets), part) + place)
+
+
+def ingest_stream(raw: DataFrame, store: EventStore, checkpoint: str, trigger: str | None = TRIGGER, available_now: bool = False, name: str = "stream") -> StreamingQuery:
     """Append a stream of raw (timeline_id, json) rows to the store. Rows keep their order within a batch by seq.
 
-    A batch has its own range of seq. One that is tried again after its write was committed finds its range filled and
-    writes nothing, so each batch is stored once; a store takes one such stream.
+    A batch is written under its own name, and one that is tried again replaces what it wrote before, whole or in part:
+    each is stored once, and no history is read for that. Streams into the same store need different names.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        first = batch_id << BATCH_BITS
-        if store.raw().where(F.col("seq").between(first, first + (1 << BATCH_BITS) - 1)).isEmpty():
-            part = F.shiftright(F.monotonically_increasing_id(), 33) * (1 << 24)
-            store.append(batch.withColumn("seq", F.lit(first) + part + F.monotonically_increasing_id() % (1 << 33)).select("timeline_id", "json", "seq"))
+        batch = batch.persist()
+        try:
+            store.append(numbered(batch, batch_id << BATCH_BITS).select("timeline_id", "json", "seq"), f"{name}-{batch_id}")
+        finally:
+            batch.unpersist()
 
     out = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime=trigger or TRIGGER)).start()

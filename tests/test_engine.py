@@ -2,6 +2,7 @@
 
 import json
 import threading
+import time
 import urllib.error
 import urllib.request
 
@@ -19,6 +20,7 @@ from chronoweave.plans.planner import PlanError, Planner, process
 from chronoweave.plans.spec import Op, QuerySpec, ReplaySpec, query_from_json
 from chronoweave.sources.http import respond, server
 from chronoweave.streaming import ingest as streams
+from chronoweave.streaming.batches import MicroBatcher
 
 NOW = 1_700_000_000 * SECOND
 T = 1_735_732_800 * SECOND  # 2025-01-01T12:00:00Z
@@ -45,6 +47,14 @@ def test_times(spark):
     assert [r.has_ts for r in rows] == [True] * 4 + [False] * 3 + [True, False]
 
 
+def test_times_out_of_range(spark):
+    rows = classify(
+        spark, {"type": "x", "timestamp": 1704067200000}, {"timestamp": "2500-01-01T00:00:00Z", "ts": 5}, {"timestamp": 1e300, "time": "1600-01-01T00:00:00Z", "event_time": 7}, {"ts": -1e300}, {"ts": 9223372036},
+        {"timestamp": "2262-04-11T23:47:16.854775807Z"}, {"timestamp": "2262-04-11T23:47:16.854775808Z"},
+    )
+    assert [r.ts_ns for r in rows] == [NOW, 5 * SECOND, 7 * SECOND, NOW, 9223372036 * SECOND, 2**63 - 1, NOW]
+
+
 def test_values_and_fields(spark):
     rows = classify(
         spark, {"type": "play", "video_id": "v", "cdn": 5, "device_type": "tv"}, {"type": "seek", "seek_from_time": 1.5, "seek_to_time": "2", "video_id": "w"}, {"type": "rebuffer", "buffer_duration": 3},
@@ -132,7 +142,7 @@ def test_references(session):
     assert p.tracks["a"] is p.tracks["b"]
 
 
-ALL_PRICE_OPS = ["TWAP", "VWAP", "BollingerBands", "RSI", "MACD", "VaR", "Drawdown", "SharpeRatio", "TransactionVelocity", "MovingAverage", "MovingSum", "MovingMax", "MovingMin", "Percentile"]
+ALL_PRICE_OPS = ["TWAP", "VWAP", "BollingerBands", "RSI", "MACD", "VaR", "Drawdown", "SharpeRatio", "TransactionVelocity", "MovingAverage", "MovingSum", "MovingMax", "MovingMin", "Percentile", "MovingCount", "MovingVariance", "MovingStdDev", "MovingPercentile", "MovingMedian", "MovingFirst", "MovingLast", "EMA", "PositionExposure"]
 
 
 @pytest.mark.parametrize("name", ALL_PRICE_OPS)
@@ -140,6 +150,13 @@ def test_price_operations_run(session, name):
     process(session, [Op("r", name, params={"value_field": "p", "window": 5, "multiplier": "x"})]).df.collect()
 
 
+def test_windowed_operation(session):
+    op = Op("r", "WindowedAggregate", params={"value_field": "p", "window": "2m", "start": "2025-01-01T12:00:00Z", "end": "2025-01-01T12:05:00Z", "aggregation": "sum"})
+    assert [r.value for r in process(session, [op]).df.orderBy("start_ns").collect()] == [1.0, 5.0]
+    sliding = Op("r", "WindowedAggregate", params={"value_field": "p", "window": "2m", "slide": "1m", "start": "2025-01-01T12:00:00Z", "end": "2025-01-01T12:02:00Z", "aggregation": "count"})
+    assert [r.value for r in process(session, [sliding]).df.orderBy("start_ns").collect()] == [2.0, 1.0]
+
+
 def badge(spark, name, times, kind, user="u"):
     e = frame(spark, *[(user, t, kind, "true", {}) for t in times])
     return badges.evaluate(e, name).first()
@@ -180,17 +197,32 @@ def test_store(engine):
     with pytest.raises(ValueError, match="no events"):
         engine.ingest("s1", [])
     r = engine.query(QuerySpec.from_dict({"timeline_id": "s1", **BUFFER}))
-    assert as_json(r, "s1")["result"] == 60.0
+    said_so = as_json(r, "s1")
+    assert said_so["result"] == 60.0 and said_so["metadata"]["eventCount"] == 4
+    rows = as_json(engine.query(QuerySpec.from_dict({"timeline_id": "s1", "operations": [{"id": "r", "op": "MovingCount"}]})), "s1", limit=2)
+    assert len(rows["result"]) == 2 and rows["metadata"]["truncated"]
     assert engine.store.load("s1").count() == 4
     assert engine.store.load("s1", (T, T + MINUTE)).count() == 2
     assert engine.store.load("s1", filters={"cdn": "A"}).count() == 1
     assert engine.store.load("s1", filters={"cdn": "none"}).count() == 0
-    plan = engine.store.load("s1", (T, T + MINUTE))._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(day" in plan and "EqualTo(timeline_id,s1)" in plan
+    engine.spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = engine.store.load("s1", (T, T + MINUTE)).where("type = 'x'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "EqualTo(timeline_id,s1)" in plan and "EqualTo(type,x)" in plan and "GreaterThanOrEqual(ts_ns," in plan
+    ids = engine.store.timelines()
+    assert [x.timeline_id for x in ids.collect()] == ["s1"] and "json" not in ids._jdf.queryExecution().executedPlan().toString()
+    engine.ingest("s2", [{"timestamp": 1704067200000}, {"timestamp": "2500-01-01T00:00:00Z", "type": "y"}])  # nothing to file them under, and no reason to stop
+    assert sorted((r.type, r.has_ts) for r in engine.store.load("s2").collect()) == [("unknown", False), ("y", False)]
+    small = engine.store.compact_to(engine.store.path + "-small")
+    assert sorted(map(str, small.raw().drop("batch").collect())) == sorted(map(str, engine.store.raw().drop("batch").collect()))
     replay = ReplaySpec.from_dict({"timeline_id": "s1", "query": {**BUFFER, "filters": {"cdn": "A"}, "time_range": {"start": "2025-01-01T00:00:00Z", "end": "2025-01-02T00:00:00Z"}}, "processing_mode": "odd"})
     out = engine.replay(replay)
     assert out.df.first().value == 0.0 and out.metadata["processingMode"] == "auto"
-    assert engine.badge("daily_engagement", "s1", T, T + DAY).first().earned is False
+    badge = engine.badge("daily_engagement", "s1", T, T + DAY).first()
+    assert badge.earned is False and badge.details["required_seconds"] == 7 * 86400 and badge.metadata["operations"] == "5"
+    report = engine.fraud_of("s1", start_ns=T)
+    assert (report["customer_id"], report["fraud_detected"], report["processed_events"], report["start_ns"]) == ("s1", False, 3, T) and report["execution_seconds"] > 0
+    with pytest.raises(ValueError, match="no events"):
+        engine.fraud_of("nobody")
 
 
 def test_http(engine):
@@ -246,6 +278,40 @@ def test_stream_ingest(engine, spark, tmp_path):
     assert engine.query(QuerySpec.from_dict({"timeline_id": "s", **BUFFER})).df.first().value == 60.0
 
 
+def test_a_batch_that_is_tried_again_is_stored_once(engine, spark):
+    rows = spark.createDataFrame([("s", json.dumps(said(m, "play"))) for m in range(6)], "timeline_id string, json string").repartition(3)
+    numbers = lambda: sorted(r.seq for r in engine.store.raw().collect())
+    whole = streams.numbered(rows, 5 << streams.BATCH_BITS).select("timeline_id", "json", "seq")
+    engine.store.append(whole.limit(2), "stream-5")  # half of it, as if the writer had been lost
+    engine.store.append(whole, "stream-5")
+    engine.store.append(whole, "stream-5")
+    assert numbers() == [(5 << streams.BATCH_BITS) + i for i in range(6)]
+    engine.store.append(streams.numbered(rows, 0).select("timeline_id", "json", "seq"), "other-5")
+    engine.ingest("s", [said(9, "pause")])
+    assert engine.store.load("s").count() == 13
+    assert streams.numbered(rows.where("false"), 0).collect() == []
+
+
+def test_micro_batches(engine):
+    with MicroBatcher(engine.store, 3, 60) as batcher:
+        assert batcher.add("m", [said(i, "play") for i in range(4)]) == 4
+        assert engine.store.load("m").count() == 3
+        with pytest.raises(ValueError, match="no events"):
+            batcher.add("m", [])
+    assert engine.store.load("m").count() == 4 and [(f.events, f.reason) for f in batcher.flushes] == [(3, "size"), (1, "final")]
+    with MicroBatcher(engine.store, 3, 0.2) as soon:
+        soon.add("m", [said(5, "pause")])
+        for _ in range(200):
+            if soon.flushes:
+                break
+            time.sleep(0.1)
+    assert [(f.events, f.reason) for f in soon.flushes] == [(1, "timeout")]
+    with MicroBatcher(engine.store, 100, 60) as web:
+        assert respond(engine, "POST", "/timelines/w/events", json.dumps([said(0, "play")]).encode(), "", web)[0] == 202
+        body = json.dumps({"operations": [{"id": "r", "op": "HasExisted", "source": "playerStateChange", "equals": "play"}]}).encode()
+        assert len(respond(engine, "POST", "/timelines/w/query", body, "", web)[1]["result"]) == 1
+
+
 def test_stream_aggregates(spark, tmp_path):
     data = spark.createDataFrame([("t", m * MINUTE, float(m), "x") for m in (0, 1, 2, 10, 11)], "timeline_id string, ts_ns long, value double, v string")
     data.coalesce(1).write.parquet(str(tmp_path / "p"))

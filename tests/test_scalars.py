@@ -54,12 +54,12 @@ def test_replay_json():
 
 
 HCL = '''
-timeline_id = "user-123" # who
-filters = { user_id = "123", "status" : "active", n = 3, ok = true, none = null, list = [1, "a",], }
+timeline_id = "pump 7" # which
+filters = { plant = "north", "valve" : "open", bars = 3, hot = false, note = null, list = [1, "a",], }
 /* when */
 time_range {
-  start = timestamp("2025-01-01T00:00:00Z")
-  end   = "2025-06-01T23:59:59Z"
+  start = timestamp("2023-11-14T22:13:20Z")
+  end   = "2023-12-24T18:30:00+01:00"
 }
 operation "any label" {
   id            = "a"
@@ -84,10 +84,10 @@ operation "any label" {
 
 def test_hcl_query():
     q = hcl.parse_query(HCL)
-    assert q.timeline_id == "user-123"
-    assert q.filters == {"user_id": "123", "status": "active", "n": 3.0, "ok": True, "none": None, "list": [1.0, "a"]}
+    assert q.timeline_id == "pump 7"
+    assert q.filters == {"plant": "north", "valve": "open", "bars": 3.0, "hot": False, "note": None, "list": [1.0, "a"]}
     assert q.operations == (Op("a", "HasExistedWithin", "s", 'say "x"', "5m", Op("b", "HasExisted", "t"), ("x", "y"), (), {"window": "5s", "deep": {"a": 1.0}}),)
-    assert q.time_range.bounds[0] == 1735689600 * S
+    assert q.time_range.bounds == (1700000000 * S, 1703439000 * S)
 
 
 def test_hcl_replay():
