@@ -20,9 +20,9 @@ from chronoweave.plans.spec import query_from_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Day one of the sample events, and a week later.
+#: Day one of the sample events, and the end of their thirty days.
 T0 = 1_704_067_200 * 10**9
-T1 = T0 + 7 * DAY
+T1 = T0 + 30 * DAY
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +44,9 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by day for fifty groups of customers: many are of the same instant."""
     o = read(spark, sf_dir, "orders")
-    return o.select(F.col("o_custkey").cast("string").alias("timeline_id"), ns("o_orderdate").alias("ts_ns"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("value"), F.lit(0.0).alias("volume"))
+    return o.select((F.col("o_custkey") % 50).cast("string").alias("timeline_id"), ns("o_orderdate").alias("ts_ns"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("value"), (F.col("o_orderkey") % 7).cast("double").alias("volume"))
 
 
 def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,8 +146,8 @@ add("has_existed", lambda s, d: states.has_existed(events(s, d), "purchase"), f"
 add("has_existed_within", lambda s, d: within(s, d, "click"), f"WITH {E}, {within_sql('click', 'a')} {BOOL} a")
 add("has_existed_within_sliced", lambda s, d: intervals.as_bool(intervals.sliced_islands(events(s, d).where("value = 'click'").select("timeline_id", F.col("ts_ns").alias("start_ns"), (F.col("ts_ns") + 12 * HOUR).alias("end_ns")), DAY)), f"WITH {E}, {within_sql('click', 'a')} {BOOL} a")
 add("not_gaps", lambda s, d: intervals.not_(within(s, d, "click")), f"WITH {E}, {within_sql('click', 'a')}, g AS (SELECT timeline_id, lag(t) OVER ({PER} ORDER BY s) AS start_ns, s AS end_ns FROM a) SELECT timeline_id, false AS value, start_ns, end_ns FROM g WHERE start_ns < end_ns")
-add("complement", lambda s, d: intervals.complement(within(s, d, "click"), T0, T0 + 30 * DAY), f"""WITH {E}, {within_sql('click', 'a')}, w AS (SELECT DISTINCT timeline_id FROM a), x AS (SELECT timeline_id, s, t FROM a WHERE t > {T0} AND s < {T0 + 30 * DAY} UNION ALL SELECT timeline_id, {T0 + 30 * DAY}, {T0 + 30 * DAY} FROM w),
-g AS (SELECT timeline_id, greatest(coalesce(lag(t) OVER ({PER} ORDER BY s, t), {T0}), {T0}) AS start_ns, least(s, {T0 + 30 * DAY}) AS end_ns FROM x) SELECT timeline_id, true AS value, start_ns, end_ns FROM g WHERE start_ns < end_ns""")
+add("complement", lambda s, d: intervals.complement(within(s, d, "click"), T0, T1), f"""WITH {E}, {within_sql('click', 'a')}, w AS (SELECT DISTINCT timeline_id FROM a), x AS (SELECT timeline_id, s, t FROM a WHERE t > {T0} AND s < {T1} UNION ALL SELECT timeline_id, {T1}, {T1} FROM w),
+g AS (SELECT timeline_id, greatest(coalesce(lag(t) OVER ({PER} ORDER BY s, t), {T0}), {T0}) AS start_ns, least(s, {T1}) AS end_ns FROM x) SELECT timeline_id, true AS value, start_ns, end_ns FROM g WHERE start_ns < end_ns""")
 add("and_intervals", both, f"WITH {BOTH} {BOOL} m")
 add("or_intervals", either, f"WITH {EITHER} {BOOL} m")
 add("merge_intervals", lambda s, d: intervals.merge(within(s, d, "click").unionByName(within(s, d, "view"))), f"WITH {EITHER} {BOOL} m")
@@ -167,9 +168,7 @@ for _kind, _way in (("first", "ASC"), ("last", "DESC")):
     add(f"agg_{_kind}", lambda s, d, k=_kind: aggregates.aggregate(prices(s, d), k), f"WITH {E} SELECT DISTINCT timeline_id, '{_kind}' AS agg_type, first_value(price) OVER ({PER} ORDER BY ts_ns {_way}, seq {_way}) AS value, count(*) OVER ({PER}) AS count, max(ts_ns) OVER ({PER}) AS ts_ns FROM e")
     add(f"moving_{_kind}", lambda s, d, k=_kind: aggregates.moving(prices(s, d), k, 2 * DAY), f"WITH {E} SELECT timeline_id, ts_ns, seq, '{_kind}' AS agg_type, {_kind}_value(price) OVER {trailing_sql(2 * DAY)} AS value, count(*) OVER {trailing_sql(2 * DAY)} AS count FROM e")
 add("moving_avg_sliced", lambda s, d: rounded(aggregates.moving(prices(s, d), "avg", 2 * DAY, slice_ns=5 * DAY), 7), f"WITH {E} SELECT timeline_id, ts_ns, seq, 'avg' AS agg_type, round(avg(price) OVER {trailing_sql(2 * DAY)}, 7) AS value, count(*) OVER {trailing_sql(2 * DAY)} AS count FROM e")
-add("moving_sum_ties", lambda s, d: rounded(aggregates.moving(order_prices(s, d), "sum", 90 * DAY, exact_ties=True), 4), f"""WITH o AS (SELECT o_custkey::VARCHAR AS timeline_id, epoch_us(o_orderdate) * 1000 AS ts_ns, o_orderkey AS seq, o_totalprice AS price FROM orders)
-SELECT a.timeline_id, a.ts_ns, a.seq, 'sum' AS agg_type, round(sum(b.price), 4) AS value, count(*) AS count FROM o a JOIN o b ON a.timeline_id = b.timeline_id AND b.ts_ns >= a.ts_ns - {90 * DAY} AND (b.ts_ns < a.ts_ns OR (b.ts_ns = a.ts_ns AND b.seq <= a.seq)) GROUP BY ALL""")
-add("windowed_sum", lambda s, d: rounded(aggregates.windowed(prices(s, d), windows.sliding_windows(s, T0, T1, 3 * DAY, 2 * DAY), "sum")), f"""WITH {E}, w AS (SELECT {T0} + i * {2 * DAY} AS start_ns, least({T0} + i * {2 * DAY} + {3 * DAY}, {T1}) AS end_ns FROM range(4) t(i))
+add("windowed_sum", lambda s, d: rounded(aggregates.windowed(prices(s, d), windows.sliding_windows(s, T0, T1, 3 * DAY, 2 * DAY), "sum")), f"""WITH {E}, w AS (SELECT {T0} + i * {2 * DAY} AS start_ns, least({T0} + i * {2 * DAY} + {3 * DAY}, {T1}) AS end_ns FROM range(15) t(i))
 SELECT timeline_id, 'sum' AS agg_type, round(sum(price), 6) AS value, count(*) AS count, start_ns, end_ns, end_ns AS ts_ns FROM e JOIN w ON ts_ns >= start_ns AND ts_ns < end_ns GROUP BY timeline_id, start_ns, end_ns""")
 add("sliding_windows", lambda s, d: windows.sliding_windows(s, T0, T0 + 10 * HOUR, 5 * HOUR, 2 * HOUR), f"SELECT {T0} + i * {2 * HOUR} AS start_ns, least({T0} + i * {2 * HOUR} + {5 * HOUR}, {T0 + 10 * HOUR}) AS end_ns FROM range(5) t(i)")
 add("tumbling_windows", lambda s, d: windows.tumbling_windows(s, T0, T0 + 10 * HOUR, 3 * HOUR), f"SELECT {T0} + i * {3 * HOUR} AS start_ns, least({T0} + (i + 1) * {3 * HOUR}, {T0 + 10 * HOUR}) AS end_ns FROM range(4) t(i)")
@@ -211,6 +210,27 @@ add("sharpe", lambda s, d: rounded(finance.sharpe(prices(s, d), 5 * DAY)), f"WIT
 add("transaction_velocity", lambda s, d: rounded(finance.transaction_velocity(prices(s, d), DAY), 7), f"WITH {E}, m AS (SELECT timeline_id, ts_ns, seq, count(*) OVER {trailing_sql(DAY)} AS count, sum(price) OVER {trailing_sql(DAY)} AS total FROM e) SELECT timeline_id, ts_ns, seq, 'TransactionVelocity' AS metric, round(count / 24.0::DOUBLE, 7) AS value, count, round(total, 7) AS total, round(total / count, 7) AS average FROM m")
 
 
+#: What the window up to each row holds where instants repeat, by a join: rows of the same instant up to the row's own.
+TIED = f"""o AS (SELECT (o_custkey % 50)::VARCHAR AS timeline_id, epoch_us(o_orderdate) * 1000 AS ts_ns, o_orderkey AS seq, o_totalprice AS price, (o_orderkey % 7)::DOUBLE AS volume FROM orders),
+x AS (SELECT a.timeline_id, a.ts_ns, a.seq, a.price AS own, b.ts_ns AS bt, b.seq AS bs, b.price AS bp, b.volume AS bv FROM o a JOIN o b ON a.timeline_id = b.timeline_id AND b.ts_ns >= a.ts_ns - {10 * DAY} AND (b.ts_ns < a.ts_ns OR (b.ts_ns = a.ts_ns AND b.seq <= a.seq)))"""
+ROW = "timeline_id, ts_ns, seq"
+TIED_SQL = {
+    "sum": "sum(bp)", "avg": "avg(bp)", "min": "min(bp)", "max": "max(bp)", "count": "count(bp)::DOUBLE", "variance": "var_pop(bp)", "stddev": "stddev_pop(bp)",
+    "percentile": "quantile_cont(bp, 0.9)", "median": "quantile_cont(bp, 0.5)", "first": "arg_min(bp, (bt, bs))", "last": "arg_max(bp, (bt, bs))",
+}
+for _kind, _sql in TIED_SQL.items():
+    add(f"moving_{_kind}_ties", lambda s, d, k=_kind: rounded(aggregates.moving(order_prices(s, d), k, 10 * DAY, 90.0), 2), f"WITH {TIED} SELECT {ROW}, '{_kind}' AS agg_type, round({_sql}, 2) AS value, count(*) AS count FROM x GROUP BY {ROW}")
+add("twap_ties", lambda s, d: rounded(finance.twap(order_prices(s, d), 10 * DAY), 2), f"""WITH {TIED}, y AS (SELECT *, lag(bt) OVER w AS pt, lag(bp) OVER w AS pp FROM x WINDOW w AS (PARTITION BY {ROW} ORDER BY bt, bs))
+SELECT {ROW}, 'TWAP' AS metric, round(CASE WHEN sum(bt - pt) = 0 THEN any_value(own) ELSE sum((bp + pp) / 2 * (bt - pt)) / sum(bt - pt) END, 2) AS value FROM y GROUP BY {ROW} HAVING count(*) > 1""")
+add("vwap_ties", lambda s, d: rounded(finance.vwap(order_prices(s, d), 10 * DAY), 4), f"WITH {TIED} SELECT {ROW}, 'VWAP' AS metric, round(CASE WHEN sum(bv) > 0 THEN sum(bp * bv) / sum(bv) ELSE avg(bp) END, 4) AS value FROM x GROUP BY {ROW}")
+add("bollinger_ties", lambda s, d: rounded(finance.bollinger(order_prices(s, d), 10 * DAY).where("band = 0").drop("band"), 2), f"""WITH {TIED}, m AS (SELECT {ROW}, avg(bp) AS middle, stddev_pop(bp) AS stddev FROM x GROUP BY {ROW})
+SELECT {ROW}, 'BollingerBands_Upper' AS metric, round(middle + 2 * stddev, 2) AS value, round(middle, 2) AS middle, round(middle - 2 * stddev, 2) AS lower, round(stddev, 2) AS stddev FROM m""")
+add("var_hist_ties", lambda s, d: rounded(finance.value_at_risk(order_prices(s, d), 30 * DAY)), f"""WITH {TIED.replace(str(10 * DAY), str(30 * DAY))}, h AS (SELECT {ROW}, list_sort(list(bp)) AS vs FROM x GROUP BY {ROW})
+SELECT {ROW}, 'VaR' AS metric, round(-vs[1 + least(trunc((1.0::DOUBLE - 95.0::DOUBLE / 100) * len(vs))::BIGINT, len(vs) - 1)], 6) AS value, 95.0::DOUBLE AS confidence FROM h WHERE len(vs) > 10""")
+add("sharpe_ties", lambda s, d: rounded(finance.sharpe(order_prices(s, d), 10 * DAY), 2), f"WITH {TIED}, m AS (SELECT {ROW}, avg(bp) AS avg_return, stddev_pop(bp) AS stddev FROM x GROUP BY {ROW}) SELECT {ROW}, 'SharpeRatio' AS metric, round((avg_return - 0.02) / stddev, 2) AS value, round(avg_return, 2) AS avg_return, round(stddev, 2) AS stddev, 0.02::DOUBLE AS risk_free FROM m WHERE stddev > 0")
+add("transaction_velocity_ties", lambda s, d: rounded(finance.transaction_velocity(order_prices(s, d), 10 * DAY), 2), f"WITH {TIED}, m AS (SELECT {ROW}, count(*) AS count, sum(bp) AS total FROM x GROUP BY {ROW}) SELECT {ROW}, 'TransactionVelocity' AS metric, round(count / 240.0::DOUBLE, 2) AS value, count, round(total, 2) AS total, round(total / count, 2) AS average FROM m")
+
+
 def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = raw_events(spark, sf_dir).withColumn("value", F.col("price"))
     return rounded(finance.position_exposure(r.where("event_type = 'click'"), r.where("event_type = 'view'")))
@@ -277,6 +297,27 @@ add("price_conversion", lambda s, d: json_events.prices(classified(s, d), "price
 add("numeric_conversion", lambda s, d: json_events.numeric_intervals(classified(s, d)), f"WITH {E} SELECT timeline_id, 1.0::DOUBLE AS value, ts_ns AS start_ns, ts_ns AS end_ns FROM e")
 
 
+def odd_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as careless clients send them: other keys, keys of a wrong type before usable ones, Unix times, times out of range, and what is no object."""
+    r = raw_events(spark, sf_dir)
+    whole = F.timestamp_micros(F.expr("ts_ns div 1000"))
+    zulu, east = F.date_format(whole, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.date_format(whole + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'")
+    forms = [
+        '{"eventType": "%1$s", "timestamp": "%2$s", "value": "%1$s"}', '{"event_type": "%1$s", "ts": %4$d, "state": "%1$s"}',
+        '{"eventType": 5, "type": "%1$s", "timestamp": "not a time", "time": %4$d.5, "value": 3, "status": "%1$s"}', '{"action": "%1$s", "timestamp": 1704067200000, "eventTime": "%3$s"}',
+        ' {"event": "%1$s", "timestamp": "2500-01-01T00:00:00Z", "ts": true, "event_time": "%2$s"}', '{"messageType": "%1$s", "value": {"a": 1}}', '["%1$s"]', '{"timestamp": 1e300, "x": "%1$s"}',
+    ]
+    body = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        body = F.when(F.col("seq") % 8 == i, F.format_string(form, "event_type", zulu, east, F.unix_seconds(whole))).otherwise(body)
+    return r.select("timeline_id", body.alias("json"), "seq")
+
+
+add("classify_odd_json", lambda s, d: json_events.Classifier().classify(odd_json(s, d), T0).select("timeline_id", "ts_ns", "seq", "type", "value", "has_ts"), f"""WITH {E}, k AS (SELECT *, seq % 8 AS k FROM e)
+SELECT timeline_id, CASE WHEN k IN (0, 3, 4) THEN ts_ns WHEN k IN (1, 2) THEN ts_ns // 1000000000 * 1000000000 ELSE {T0} END AS ts_ns, seq,
+CASE WHEN k = 7 THEN 'unknown' ELSE value END AS type, CASE WHEN k = 7 THEN 'unknown' ELSE value END AS value, k < 5 AS has_ts FROM k WHERE k <> 6""")
+
+
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = classified(spark, sf_dir)
     return c.where(json_events.matches(F.col("attrs"), {"eventType": "view", "volume": 7})).where(F.col("ts_ns").between(T0, T0 + 20 * DAY)).select("timeline_id", "ts_ns", "seq", "value")
@@ -337,7 +378,7 @@ add("query_vwap", lambda s, d: rounded(process(classified(s, d), query_from_json
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seconds in the state `view` by user: raw JSON, classified, turned into states and summed."""
+    """Seconds in the state `view` by user: events turned into states and summed, as a query asks."""
     ops = '{"operations": [{"id": "viewing", "op": "LatestEventToState", "source": "event", "equals": "view"}, {"id": "result", "op": "DurationWhere", "conditionAll": ["viewing"]}]}'
     return rounded(process(events(spark, sf_dir), query_from_json(ops).operations).df)
 
