@@ -95,7 +95,7 @@ def alpha(period_ns: int) -> float:
 
 
 def ema(prices: DataFrame, period_ns: int) -> DataFrame:
-    """Exponential moving average from the first value on."""
+    """Exponential moving average from the first value on. A null value counts as 0, as in all recursions here."""
     return _recursive(prices, {"value": alpha(period_ns)}).select(*KEYS, named("EMA"), "value")
 
 

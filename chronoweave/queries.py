@@ -296,6 +296,8 @@ add("classify_json", lambda s, d: classified(s, d).select("timeline_id", "ts_ns"
 add("price_conversion", lambda s, d: json_events.prices(classified(s, d), "price").select("timeline_id", "ts_ns", "seq", "value", "volume"), f"WITH {E} SELECT timeline_id, ts_ns, seq, price AS value, volume FROM e")
 add("numeric_conversion", lambda s, d: json_events.numeric_intervals(classified(s, d)), f"WITH {E} SELECT timeline_id, 1.0::DOUBLE AS value, ts_ns AS start_ns, ts_ns AS end_ns FROM e")
 
+add("numeric_conversion_field", lambda s, d: json_events.numeric_intervals(classified(s, d), "price"), f"WITH {E} SELECT timeline_id, price AS value, ts_ns AS start_ns, ts_ns AS end_ns FROM e")
+
 
 def odd_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as careless clients send them: other keys, keys of a wrong type before usable ones, Unix times, times out of range, and what is no object."""
