@@ -5,8 +5,9 @@ their order, with their reference and the tokens that they expand to recorded be
 
     <|im_start|>role NEWLINE content<|im_end|>NEWLINE
 
-Every control string starts with "<|". Inside texts and roles a backslash is written as backslash b and "<|" as
-"<" backslash p (and in roles a newline as backslash n), which no input can imitate and which reads back to the input.
+Every control string starts with "<". Inside texts and roles a backslash is written as backslash b and "<" as backslash l
+(and in roles a newline as backslash n). That is done character by character, so parts can be escaped one by one and
+joined: no input can imitate a control string, not even in pieces, and everything reads back.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ def swap(text: Column, old: str, new: str) -> Column:
 
 
 def escape(text: Column) -> Column:
-    return swap(swap(text, "\\", "\\b"), "<|", "<\\p")
+    return swap(swap(text, "\\", "\\b"), "<", "\\l")
 
 
 def unescape(text: Column) -> Column:
-    return swap(swap(text, "<\\p", "<|"), "\\b", "\\")
+    return swap(swap(text, "\\l", "<"), "\\b", "\\")
 
 
 def escape_role(role: Column) -> Column:
@@ -43,20 +44,21 @@ def unescape_role(role: Column) -> Column:
 
 
 def visitor(tokens: dict[str, float] | None = None) -> dict[str, Callable[[Column], Column]]:
-    """Rules by part type, each giving (content, ref, tokens) of a part."""
+    """Rules by part type, each giving (plain, content, ref, tokens) of a part: what it says, and how that is written."""
     none = F.lit(None).cast("string")
 
     def text(p: Column) -> Column:
-        return F.struct(escape(F.coalesce(p["text"], F.lit(""))).alias("content"), none.alias("ref"), F.lit(0).cast("long").alias("tokens"))
+        plain = F.coalesce(p["text"], F.lit(""))
+        return F.struct(plain.alias("plain"), escape(plain).alias("content"), none.alias("ref"), F.lit(0).cast("long").alias("tokens"))
 
     def attached(kind: str, rate: float) -> Callable[[Column], Column]:
-        return lambda p: F.struct(F.lit(f"<|{kind}|>").alias("content"), F.coalesce(p["ref"], F.lit("")).alias("ref"), F.ceil(F.coalesce(p["units"], F.lit(1.0)) * rate).cast("long").alias("tokens"))
+        return lambda p: F.struct(F.lit(f"<|{kind}|>").alias("plain"), F.lit(f"<|{kind}|>").alias("content"), F.coalesce(p["ref"], F.lit("")).alias("ref"), F.ceil(F.coalesce(p["units"], F.lit(1.0)) * rate).cast("long").alias("tokens"))
 
     return {"text": text} | {k: attached(k, r) for k, r in (tokens or TOKENS).items()}
 
 
 def flatten(parts: Column, rules: dict[str, Callable[[Column], Column]]) -> Column:
-    """Struct of a message's content, the references of its attachments in order, and their tokens. A part of unknown or null type is text."""
+    """Struct of a message's plain text and content, and its attachments in order with their tokens. A part of unknown or null type is text."""
 
     def visit(p: Column) -> Column:
         out = rules["text"](p)
@@ -67,7 +69,8 @@ def flatten(parts: Column, rules: dict[str, Callable[[Column], Column]]) -> Colu
 
     def joined(v: Column) -> Column:
         refs = F.transform(F.filter(v, lambda x: x["ref"].isNotNull()), lambda x: F.struct(x["ref"].alias("ref"), x["tokens"].alias("tokens")))
-        return F.struct(F.array_join(F.transform(v, lambda x: x["content"]), "").alias("content"), refs.alias("attachments"))
+        plain, content = F.transform(v, lambda x: x["plain"]), F.transform(v, lambda x: x["content"])
+        return F.struct(F.array_join(plain, "").alias("plain"), F.array_join(content, "").alias("content"), refs.alias("attachments"))
 
     visited = F.transform(F.coalesce(parts, F.array().cast(PARTS)), visit)
     return F.transform(F.array(visited), joined)[0]
@@ -83,13 +86,13 @@ def format_chats(turns: DataFrame, learn: str = "assistant", tokens: dict[str, f
 
     Returns conv_id, formatted (the text), spans (of each turn in order: start, mask_start and mask_end in code
     points, the latter two null for roles other than `learn`), attachments (ref, tokens) in order. Turns go by turn
-    (null first), equal ones by role and content. Null roles are empty, null parts none; rows without conv_id are
+    (null first), equal ones by role, plain text and content. Null roles are empty, null parts none; rows without conv_id are
     one conversation. An empty table gives an empty result.
     """
     flat = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), flatten(F.col("parts"), visitor(tokens)).alias("m"))
     head = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n"))
-    rows = flat.select("conv_id", "turn", "role", head.alias("head"), F.col("m.content").alias("content"), F.col("m.attachments").alias("files"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "content")
+    rows = flat.select("conv_id", "turn", "role", head.alias("head"), F.col("m.plain").alias("plain"), F.col("m.content").alias("content"), F.col("m.attachments").alias("files"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "plain", "content")
     size = F.char_length("head") + F.char_length("content") + len(CLOSE)
     placed = rows.withColumns({"pos": F.row_number().over(order), "start": (F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - size).cast("long")})
     learned = F.col("role") == learn
