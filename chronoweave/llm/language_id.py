@@ -5,7 +5,7 @@ all its segmentations into pieces, by the forward algorithm; a text's is the pro
 prediction is the language of the largest posterior. The piece probabilities are fitted by expectation maximisation
 (forward-backward) on words counted over a sample of labelled documents.
 
-The sample is bounded: about `sample_docs` documents a language, those of least hash of text, whole texts.
+The sample is bounded: about `sample_docs` different texts a language, those of least hash and at least one, whole texts.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from chronoweave.llm._common import LongTable, batch_of, prepare, trimmed
 
 #: The vocabulary's mark for the start of a word.
 START = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters and of number signs such as ½ and ②, which words_of() tells apart.
+WORDS = re.compile(r"[^\W\d_]+")
 #: Longer runs of letters are cut here: a probability is a product over the word.
 LONGEST_WORD = 24
 #: Pieces are numbered from 2 on; 1 is any single letter that the vocabulary lacks.
@@ -48,11 +49,13 @@ def pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return [p for p in names if (body := p.removeprefix(START)) == body.lower() and (not body or LETTERS.fullmatch(body)) and len(body) <= LONGEST_WORD]
+    return [p for p in names if (body := p.removeprefix(START)) == body.lower() and (not body or body.isalpha()) and len(body) <= LONGEST_WORD]
 
 
 def words_of(text: str) -> list[str]:
-    out = LETTERS.findall(text.lower())
+    out = WORDS.findall(text.lower())
+    if not all(map(str.isalpha, out)):
+        out = "".join(c if c.isalpha() else " " for w in out for c in (*w, " ")).split()
     return out if all(len(w) <= LONGEST_WORD for w in out) else [w[i : i + LONGEST_WORD] for w in out for i in range(0, len(w), LONGEST_WORD)]
 
 
@@ -220,20 +223,22 @@ def fit(vocabulary: list[str], counts: dict[str, dict[str, int]], rounds: int =
     return Model(vocabulary, langs, prob)
 
 
-def labelled_words(docs: DataFrame, learn: Column, sample_docs: int) -> dict[str, dict[str, int]]:
-    """Word counts by language over the sample: of the documents of `learn` with a lang, those whose text hash is in the least share that gives about sample_docs."""
-    own = docs.where(learn & F.col("lang").isNotNull()).select("lang", "text")
-    totals = own.groupBy("lang").count()
-    share = F.col("share")
+def labelled_words(docs: DataFrame, learn: Column, sample_docs: int, most_languages: int = MOST_LANGUAGES) -> dict[str, dict[str, int]]:
+    """Word counts by language over the sample of the documents of `learn` with a lang.
+
+    Of each language the different texts are taken whose hash is in the least share that gives about sample_docs of
+    them, and the one of least hash in any case; copies count once. If there are more than most_languages, those with
+    most texts are learned, and the others never predicted.
+    """
     span = 1 << 30
-    if totals.count() > MOST_LANGUAGES:
-        raise ValueError(f"a model holds {MOST_LANGUAGES} languages at most")
-    picked = own.join(F.broadcast(totals.select("lang", F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("count")).alias("share"))), "lang")
-    picked = picked.where(F.pmod(F.xxhash64("text"), F.lit(span)) < share * span)
+    own = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h")).withColumn("at", F.pmod("h", F.lit(span)))
+    totals = own.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.min("at").alias("first")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    upto = totals.select("lang", F.greatest(F.col("first"), F.least(F.lit(float(span)), span * F.lit(float(sample_docs)) / F.col("n")).cast("long")).alias("upto"))
+    picked = own.join(F.broadcast(upto), "lang").where("at <= upto").groupBy("lang", "h").agg(F.min("text").alias("text"))
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{LONGEST_WORD}}}"), F.lit(0)))
     out: dict[str, dict[str, int]] = {}
     for lang, w, n in picked.select("lang", word.alias("w")).groupBy("lang", "w").count().collect():
-        if LETTERS.fullmatch(w):
+        if w.isalpha():
             out.setdefault(lang, {})[w] = n
     return out
 
