@@ -1,8 +1,9 @@
 """URL filtering: allow and block rules on hosts and paths, and gradient-boosted trees for the urls that no rule fits.
 
 The trees see lexical features only: lengths, depth, digit ratio, entropy, counts of parameters, hyphens and
-subdomains, and how often urls of the same host suffix are blocked among the labelled ones. They are fitted to
-labelled urls: those that the rules decide, a bounded sample of `sample_urls` of least hash.
+subdomains, and how often urls of the same host suffix are blocked among the labelled ones (for a labelled url: among
+the others). They are fitted to labelled urls: those that the rules decide, a bounded sample of `sample_urls` of least
+hash.
 """
 
 from __future__ import annotations
@@ -59,15 +60,22 @@ class Suffixes:
 
     def __init__(self, hosts: list[str], blocked: np.ndarray):
         self.rate = float(blocked.mean()) if len(blocked) else 0.5
-        self.tables: tuple[dict, dict] = ({}, {})
-        for table, names in zip(self.tables, zip(*map(suffixes, hosts), strict=True) if hosts else ((), ()), strict=True):
+        self.tables: list[dict[str, tuple[int, float]]] = []
+        for names in zip(*map(suffixes, hosts), strict=True) if hosts else ((), ()):
             n, bad = Counter(names), Counter()
             for s, b in zip(names, blocked.tolist(), strict=True):
                 bad[s] += b
-            table.update({s: (bad[s] + SMOOTH * self.rate) / (n[s] + SMOOTH) for s in n})
+            self.tables.append({s: (n[s], bad[s]) for s in n})
 
-    def of(self, name: str) -> list[float]:
-        return [t.get(s, self.rate) for t, s in zip(self.tables, suffixes(name), strict=True)]
+    def of(self, name: str, own: float | None = None) -> list[float]:
+        """The rates of a host's suffixes; own: the label of a url that was counted itself, to be left out."""
+        out = []
+        for t, s in zip(self.tables, suffixes(name), strict=True):
+            n, bad = t.get(s, (0, 0.0))
+            if own is not None:
+                n, bad = n - 1, bad - own
+            out.append((bad + SMOOTH * self.rate) / (n + SMOOTH))
+        return out
 
 
 def lexical(url: str, host: str, path: str) -> list[float]:
@@ -146,12 +154,13 @@ class Filter:
         self.suffixes = Suffixes([h for _, h, _, _ in labelled], y)
         self.trees = Trees()
         if len(set(y.tolist())) > 1:
-            self.trees.fit(self.features([r[:3] for r in labelled]), y)
+            self.trees.fit(self.features([r[:3] for r in labelled], y.tolist()), y)
         else:  # one kind of label or none: nothing to learn from
             self.trees.start = -1.0 if not len(y) or not y[0] else 1.0
 
-    def features(self, rows: list[tuple[str, str, str]]) -> np.ndarray:
-        return np.array([lexical(*r) + self.suffixes.of(r[1]) for r in rows], float).reshape(len(rows), len(NAMES))
+    def features(self, rows: list[tuple[str, str, str]], own: list[float] | None = None) -> np.ndarray:
+        """own: the rows' labels, if they were learned from."""
+        return np.array([lexical(*r) + self.suffixes.of(r[1], None if own is None else own[i]) for i, r in enumerate(rows)], float).reshape(len(rows), len(NAMES))
 
     def blocked(self, rows: list[tuple[str, str, str]]) -> np.ndarray:
         return self.trees.predict(self.features(rows))

@@ -68,6 +68,75 @@ def test_held_out_urls(spark):
     assert len(free) > 400 and right / len(free) > 0.95
 
 
+def test_suffix_rates_leave_the_own_label_out():
+    table = url_trees.Suffixes(["a.b.com", "a.b.com", "c.b.com"], np.array([1.0, 0.0, 1.0]))
+    rate, smooth = 2 / 3, url_trees.SMOOTH
+    assert table.of("a.b.com") == pytest.approx([(2 + smooth * rate) / (3 + smooth), (1 + smooth * rate) / (2 + smooth)])
+    assert table.of("a.b.com", 1.0) == pytest.approx([(1 + smooth * rate) / (2 + smooth), (0 + smooth * rate) / (1 + smooth)])
+    assert table.of("c.b.com", 1.0)[1] == pytest.approx(rate) == table.of("new.org")[0]
+
+
+def brute_features(url, host, path, labelled, own):
+    """The features one by one; own: the index among the labelled of the url itself, or None."""
+    out = [len(url), len(host), len(path)]
+    query = url.split("?", 1)[1].split("#", 1)[0] if "?" in url else ""
+    out += [len(query), len([p for p in path.split("/") if p]), sum(c.isdigit() for c in url) / max(1, len(url))]
+    out += [-sum(s.count(c) / len(s) * math.log2(s.count(c) / len(s)) for c in set(s)) if s else 0 for s in (host, path)]
+    out += [len([p for p in query.split("&") if p]), host.count("-"), len(host.split("."))]
+    mean = sum(b for *_, b in labelled) / len(labelled)
+    for cut in (1, 3):
+        same = [b for i, (_, h, _, b) in enumerate(labelled) if h.split(".")[-cut:] == host.split(".")[-cut:] and i != own]
+        out.append((sum(same) + url_trees.SMOOTH * mean) / (len(same) + url_trees.SMOOTH))
+    return out
+
+
+def brute_boosting(x, y, new, rounds=40, depth=3, rate=0.2, bins=32, least=1.0, ridge=1.0):
+    """Scores of new by trees that are grown row by row."""
+    base = math.log(sum(y) / len(y) / (1 - sum(y) / len(y)))
+    cuts = [sorted({float(np.quantile([r[f] for r in x], k / bins)) for k in range(1, bins)}) for f in range(len(x[0]))]
+    score, out = [base] * len(x), [base] * len(new)
+
+    def grow(rows, grad, hess, left):
+        g, h = sum(grad[i] for i in rows), sum(hess[i] for i in rows)
+        best, at = 1e-6, None
+        for f in range(len(x[0])) if left else ():
+            for c in cuts[f]:
+                own = [i for i in rows if x[i][f] <= c]
+                gl, hl = sum(grad[i] for i in own), sum(hess[i] for i in own)
+                if hl >= least and h - hl >= least:
+                    gain = gl * gl / (hl + ridge) + (g - gl) ** 2 / (h - hl + ridge) - g * g / (h + ridge)
+                    if gain > best + 1e-9:
+                        best, at = gain, (f, c)
+        if at is None:
+            return lambda r: g / (h + ridge)
+        f, c = at
+        low, high = (grow([i for i in rows if (x[i][f] <= c) == side], grad, hess, left - 1) for side in (True, False))
+        return lambda r: low(r) if r[f] <= c else high(r)
+
+    for _ in range(rounds):
+        p = [1 / (1 + math.exp(-s)) for s in score]
+        tree = grow(range(len(x)), [b - q for b, q in zip(y, p, strict=True)], [q * (1 - q) for q in p], depth)
+        score = [s + rate * tree(r) for s, r in zip(score, x, strict=True)]
+        out = [s + rate * tree(r) for s, r in zip(out, new, strict=True)]
+    return [1 / (1 + math.exp(-s)) for s in out]
+
+
+def test_verdicts_against_brute_force(spark):
+    r = np.random.default_rng(9)
+    urls = []
+    for i in range(90):
+        host = f"{'win-' * int(r.integers(3))}h{r.integers(9)}.example.{r.choice(['com', 'net', 'org'])}"
+        urls.append(f"http://{host}/{r.choice(['en', 'de', 'es', 'fr/x'])}/{r.integers(2000)}{r.choice(['', '?q=1', '?q=1&z=22'])}")
+    got = {g.page_id: g for g in url_trees.judge(pages(spark, urls), URL_RULES).collect()}
+    known = sorted({(u, *brute(u)[:2], brute(u)[2][1] == "block") for u in urls if brute(u)[2]})
+    free = [i for i, u in enumerate(urls) if not brute(u)[2]]
+    assert len(known) > 15 and len(free) > 30
+    x = [brute_features(*k[:3], known, i) for i, k in enumerate(known)]
+    want = brute_boosting(x, [float(k[3]) for k in known], [brute_features(urls[i], *brute(urls[i])[:2], known, None) for i in free])
+    assert [got[i].block_score for i in free] == pytest.approx(want, rel=1e-6)
+    assert [got[i].verdict for i in free] == ["block" if w > 0.5 else "allow" for w in want]
+
+
 def test_entropy_and_edges(spark):
     assert url_trees.entropy("") == 0 and url_trees.entropy("aabb") == 1 and url_trees.entropy("abcd") == pytest.approx(math.log2(4))
     assert url_trees.judge(pages(spark, ["x"]).where("false"), URL_RULES).collect() == []
