@@ -17,12 +17,15 @@ expansion stops: positions not separated by then start equal windows.
 Skew: a block that outgrows its limit is compacted on the way. An anchor with more than `hot` distinct records is
 not gathered: its records are cut by the offset of the anchor in the window into thirds, keyed again by the bytes
 that all windows of a third share, and go through another round; at the last cut one window is one record, and equal
-windows collapse. Nothing is dropped or capped.
+windows collapse. Anchors that a sample shows to be frequent (a passage of very many documents) are dealt over many
+blocks by document in the first round: each of these keeps two of byte-identical records, and what is left of all is cut
+as above and meets in the next round. Nothing is dropped or capped.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +49,10 @@ RECORD = [np.uint64, np.int64, np.uint64, np.int64, np.uint8, np.uint8]
 RUN = [np.int64, np.uint64, np.int64, np.int64]
 ROUTED = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("blob", pa.binary())])
 NO_ID = np.iinfo(np.int64).max
+#: Bits for a place in the bytes that anchors are looked for in at once: the same for all, as ties are decided by the others.
+PLACE_BITS = 23
+#: Bytes of text, roughly, in the sample that shows frequent anchors; how many records make one frequent; and over how many blocks those are dealt.
+SAMPLE_BYTES, FREQUENT, SALTS = 64 << 20, 100_000, 64
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -82,7 +89,9 @@ def anchors(t: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray
     if len(t) < length:
         return none, none, none, none, none.astype(np.uint64)
     h = gram_hashes(t, k)
-    bits = np.uint64(max(1, int(len(h)).bit_length()))
+    if len(h) >> PLACE_BITS:
+        raise ValueError(f"anchors are looked for in {1 << PLACE_BITS} bytes at most")
+    bits = np.uint64(PLACE_BITS)
     m = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64)
     size = 1
     while size * 2 <= w:
@@ -130,30 +139,56 @@ def routed(kind: int, bucket: np.ndarray, columns: list[np.ndarray], slices=None
         yield batch_of(ROUTED, [kind] * len(rows), [b for b, _ in rows], [x for _, x in rows])
 
 
-def pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[list, list[bytes], list[int]]]:
-    """Groups of (doc, sub) and byte pieces of about TEXT_CHUNK bytes; a longer text is cut with an overlap."""
+def pieces(batches: Iterator[pa.RecordBatch], length: int, chunk: int) -> Iterator[tuple[list, list[bytes], list[int]]]:
+    """Groups of (doc, sub) and byte pieces of about `chunk` bytes; a longer text is cut with an overlap."""
     ids: list = []
     parts: list[bytes] = []
     starts: list[int] = []
     size = 0
     for b in batches:
         for doc, sub, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            for s in range(0, max(1, len(text) - length + 1), TEXT_CHUNK):
-                piece = text[s : s + TEXT_CHUNK + length - 1]
+            for s in range(0, max(1, len(text) - length + 1), chunk):
+                piece = text[s : s + chunk + length - 1]
                 if len(piece) < length:
                     continue
                 ids.append((doc, sub))
                 parts.append(piece)
                 starts.append(s)
                 size += len(piece)
-                if size >= TEXT_CHUNK:
+                if size >= chunk:
                     yield ids, parts, starts
                     ids, parts, starts, size = [], [], [], 0
     if parts:
         yield ids, parts, starts
 
 
-def emit_records(length: int, buckets: int):
+def salted_bucket(key: np.ndarray, doc: np.ndarray, sub: np.ndarray, buckets: int, frequent: np.ndarray, salts: int) -> np.ndarray:
+    """The block of an anchor's records; those of a frequent one (sorted list) are dealt over `salts` of them by document."""
+    salt = np.where(np.isin(key, frequent), doc_hash(doc, sub) % np.uint64(salts) + np.uint64(1), np.uint64(0))
+    return bucket_of(np.where(salt > 0, mixed(key + salt * np.uint64(0x9E3779B97F4A7C15)), key), buckets)
+
+
+def anchor_sample(length: int, chunk: int):
+    """Reads (doc, sub, text): the anchor of each record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts, _ in pieces(batches, length, chunk):
+            key = anchors(np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts]), length)[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+
+    return run
+
+
+def frequent_anchors(rows: DataFrame, total: int, length: int, chunk: int, frequent: int) -> np.ndarray:
+    """Anchors, sorted, that by a sample of the documents have over `frequent` records. They only deal out work; no result depends on them."""
+    share = min(1.0, SAMPLE_BYTES / max(1, total))
+    part = rows.where(F.pmod(F.xxhash64("doc", "text"), F.lit(1_000_003)) < F.lit(math.ceil(1_000_003 * share)))
+    least = max(2, int(frequent * share))  # at most total / frequent anchors have so many
+    found = part.mapInArrow(trimmed(anchor_sample(length, chunk)), "key long").groupBy("key").count().where(F.col("count") > least).select("key").toArrow()
+    return np.sort(found.column("key").to_numpy().view(np.uint64))
+
+
+def emit_records(length: int, buckets: int, chunk: int, frequent: np.ndarray, salts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         bufs: list[bytes] = []
@@ -167,9 +202,9 @@ def emit_records(length: int, buckets: int):
             def cut(rows):
                 return b"".join([bufs[i][a:b] for i, a, b in zip(buf[rows].tolist(), head[rows].tolist(), ends[rows].tolist(), strict=True)])
 
-            return routed(0, bucket_of(key, buckets), columns[1:-2], cut)  # the key can be had from the bytes
+            return routed(0, salted_bucket(key, columns[1], columns[2], buckets, frequent, salts), columns[1:-2], cut)  # the key can be had from the bytes
 
-        for ids, parts, starts in pieces(batches, length):
+        for ids, parts, starts in pieces(batches, length, chunk):
             buf = b"".join(parts)
             lengths = np.array([len(p) for p in parts])
             doc, head, count, off, key = anchors(np.frombuffer(buf, np.uint8), lengths, length)
@@ -347,8 +382,11 @@ def split_up(r: Records, width: int, length: int) -> Records:
     return Records([np.array(cols[0], np.uint64), r.doc[who], r.sub[who], np.array(cols[3], np.int64), np.array(cols[4], np.uint8), np.array(cols[5], np.uint8)], b"".join(texts), length)
 
 
-def resolve(length: int, buckets: int, doc_buckets: int, round_: int, hot: int):
-    """Reads record blocks sorted by bucket; gives runs of repeated windows (kind 0), and records of hot anchors cut finer (kind 1)."""
+def resolve(length: int, buckets: int, doc_buckets: int, round_: int, hot: int, frequent: np.ndarray):
+    """Reads record blocks sorted by bucket; gives runs of repeated windows (kind 0), and records of hot anchors cut finer (kind 1).
+
+    Those of frequent anchors are of many blocks in the first round, so all that are left of them go on.
+    """
 
     def received(blob: bytes) -> Records:
         if round_:
@@ -361,15 +399,24 @@ def resolve(length: int, buckets: int, doc_buckets: int, round_: int, hot: int):
     def sent_runs(runs: list[np.ndarray]):
         return routed(0, bucket_of(doc_hash(runs[0], runs[1]), doc_buckets), runs)
 
+    def cut_finer(r: Records):
+        cut = split_up(r, WIDTHS[round_ + 1], length)
+        return routed(1, bucket_of(cut.key, buckets), [cut.key, cut.doc, cut.sub, cut.first, cut.count, cut.off], cut.bytes_of)
+
     def compact(r: Records, final: bool):
+        out = []
+        if final and not round_ and (known := np.isin(r.key, frequent)).any():
+            passed, extra = collapsed(r.take(np.flatnonzero(known)), False)
+            out += [sent_runs(extra)] if extra else []
+            out.append(cut_finer(passed))
+            r = r.take(np.flatnonzero(~known))
         r, extra = collapsed(r, final)
-        out = [sent_runs(extra)] if extra else []
+        out += [sent_runs(extra)] if extra else []
         if round_ + 1 < len(WIDTHS) and len(r.key):
             _, inverse, seen = np.unique(r.key, return_inverse=True, return_counts=True)
             heavy = seen[inverse] > hot
             if heavy.any():
-                cut = split_up(r.take(np.flatnonzero(heavy)), WIDTHS[round_ + 1], length)
-                out.append(routed(1, bucket_of(cut.key, buckets), [cut.key, cut.doc, cut.sub, cut.first, cut.count, cut.off], cut.bytes_of))
+                out.append(cut_finer(r.take(np.flatnonzero(heavy))))
                 return r.take(np.flatnonzero(~heavy)), out, set(r.key[heavy].tolist())
         return r, out, set()
 
@@ -405,8 +452,7 @@ def resolve(length: int, buckets: int, doc_buckets: int, round_: int, hot: int):
         for blob in blobs:
             r = received(blob)
             if heavy and (known := np.isin(r.key, np.fromiter(heavy, np.uint64))).any():
-                cut = split_up(r.take(np.flatnonzero(known)), WIDTHS[round_ + 1], length)
-                yield from routed(1, bucket_of(cut.key, buckets), [cut.key, cut.doc, cut.sub, cut.first, cut.count, cut.off], cut.bytes_of)
+                yield from cut_finer(r.take(np.flatnonzero(known)))
                 r = r.take(np.flatnonzero(~known))
             held.append(r)
             size += len(r.text)
@@ -485,7 +531,7 @@ def removed_spans(first: np.ndarray, count: np.ndarray, length: int) -> list[tup
     return list(zip(begin[new].tolist(), reach[np.concatenate([new[1:], [True]])].tolist(), strict=True))
 
 
-def apply_runs(length: int, keep_bytes: bool):
+def apply_runs(length: int, keep_bytes: bool, no_id: int | None, shift: int):
     """Reads blocks sorted by bucket and kind: the runs of a bucket come first, then its texts, one block at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -515,7 +561,7 @@ def apply_runs(length: int, keep_bytes: bool):
                         at = a + y
                     kept.append(payload[at:e])
                     kept = b"".join(kept)
-                    out.append((None if d == NO_ID else d, e - a, e - a - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": x, "end": y} for x, y in spans], kept if keep_bytes else None))
+                    out.append((None if d == no_id else d + shift, e - a, e - a - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": x, "end": y} for x, y in spans], kept if keep_bytes else None))
                     size += len(kept) if keep_bytes else 100
                     if size > 4 << 20:
                         yield batch_of(KEPT, *zip(*out, strict=True))
@@ -526,33 +572,40 @@ def apply_runs(length: int, keep_bytes: bool):
     return run
 
 
-def dedup(docs: DataFrame, length: int = 100, hot: int = 20_000, keep_bytes: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 100, hot: int = 20_000, keep_bytes: bool = False, chunk: int = TEXT_CHUNK, frequent: int = FREQUENT, salts: int = SALTS) -> DataFrame:
     """Remove repeated strings of `length` bytes from the texts of docs (doc_id, text, any other columns).
 
     Returns one row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (maximal removed runs,
     byte offsets, end exclusive) and kept (remaining bytes if keep_bytes, else null; a cut can fall within a
     character). A null text is empty. Documents come in the order of doc_id, null last; texts that share a doc_id
     come in the order of their hash; rows equal in both are one document and get the same result. Texts shorter than
-    `length` lose nothing. An empty table gives an empty result.
+    `length` lose nothing. An empty table gives an empty result. hot, chunk (bytes looked through at once, a text or more),
+    frequent and salts deal out the work and change no result.
     """
     spark = docs.sparkSession
     prepare(spark)
     if not ANCHOR < length <= 128:
         raise ValueError(f"length must be over {ANCHOR} and at most 128")
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    known = docs.agg(F.count("*"), F.count("doc_id"), F.sum(F.octet_length("text"))).first()
+    known = docs.agg(F.count("*"), F.count("doc_id"), F.sum(F.octet_length("text")), F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
     ids = docs.select("doc_id").distinct().count() if known[0] else 0
     sub = F.lit(0).cast("long") if ids == known[0] == known[1] else F.xxhash64(text)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc"), sub.alias("sub"), text.alias("text"))
+    # rows without an id come last, at the largest number; where that is an id itself, all ids move down by one
+    no_id, shift = (None, 0) if known[0] == known[1] else (int(NO_ID), int(known[4] == NO_ID))
+    if shift and known[3] == -NO_ID - 1:
+        raise ValueError("ids from the least to the largest number leave no room for rows without one")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long") - shift, F.lit(int(NO_ID))).alias("doc"), sub.alias("sub"), text.alias("text"))
     total = known[2] or 0
     parts = partitions_for(4 * total, PART_RAW, 4)
     buckets, doc_parts = 2 * parts, partitions_for(total, 16 << 20, 4)
     doc_buckets = 2 * doc_parts
     routed_type = "kind int, bucket long, blob binary"
-    records = rows.where(F.octet_length("text") >= length).mapInArrow(trimmed(emit_records(length, buckets)), routed_type)
+    long_enough = rows.where(F.octet_length("text") >= length)
+    often = frequent_anchors(long_enough, total, length, chunk, frequent)
+    records = long_enough.mapInArrow(trimmed(emit_records(length, buckets, chunk, often, salts)), routed_type)
     runs, round_ = None, 0
     while True:
-        solved = dealt(records, parts).sortWithinPartitions("bucket").mapInArrow(trimmed(resolve(length, buckets, doc_buckets, round_, hot)), routed_type)
+        solved = dealt(records, parts).sortWithinPartitions("bucket").mapInArrow(trimmed(resolve(length, buckets, doc_buckets, round_, hot, often)), routed_type)
         solved = checkpoint(solved)
         own = solved.where("kind = 0")
         runs = own if runs is None else runs.unionByName(own)
@@ -562,4 +615,4 @@ def dedup(docs: DataFrame, length: int = 100, hot: int = 20_000, keep_bytes: boo
             break
     texts = rows.mapInArrow(trimmed(emit_texts(doc_buckets)), routed_type)
     both = dealt(runs.unionByName(texts), doc_parts).sortWithinPartitions("bucket", "kind")
-    return both.mapInArrow(trimmed(apply_runs(length, keep_bytes)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
+    return both.mapInArrow(trimmed(apply_runs(length, keep_bytes, no_id, shift)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
