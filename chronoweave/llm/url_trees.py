@@ -2,13 +2,14 @@
 
 The trees see lexical features only: lengths, depth, digit ratio, entropy, counts of parameters, hyphens and
 subdomains, and how often urls of the same host suffix are blocked among the labelled ones (for a labelled url: among
-the others). They are fitted to labelled urls: those that the rules decide, a bounded sample of `sample_urls` of least
+those of the other folds). They are fitted to labelled urls: those that the rules decide, a bounded sample of `sample_urls` of least
 hash.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,6 +24,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NAMES = ("url_length", "host_length", "path_length", "query_length", "depth", "digit_ratio", "host_entropy", "path_entropy", "parameters", "hyphens", "labels", "suffix_blocked", "domain_blocked")
 #: Weight of the overall rate in a suffix's rate.
 SMOOTH = 5.0
+#: Labelled urls are dealt into so many folds by their text; the rates that a fold learns with are those of the others.
+FOLDS = 5
 
 
 def host(url: Column) -> Column:
@@ -55,27 +58,24 @@ def suffixes(name: str) -> tuple[str, str]:
     return labels[-1], ".".join(labels[-3:])
 
 
+def fold_of(url: str) -> int:
+    return zlib.crc32(url.encode(errors="replace")) % FOLDS
+
+
 class Suffixes:
     """Smoothed rates of blocked urls by host suffix."""
 
-    def __init__(self, hosts: list[str], blocked: np.ndarray):
-        self.rate = float(blocked.mean()) if len(blocked) else 0.5
-        self.tables: list[dict[str, tuple[int, float]]] = []
+    def __init__(self, hosts: list[str], blocked: list[float]):
+        self.rate = sum(blocked) / len(blocked) if blocked else 0.5
+        self.tables: list[dict[str, float]] = []
         for names in zip(*map(suffixes, hosts), strict=True) if hosts else ((), ()):
             n, bad = Counter(names), Counter()
-            for s, b in zip(names, blocked.tolist(), strict=True):
+            for s, b in zip(names, blocked, strict=True):
                 bad[s] += b
-            self.tables.append({s: (n[s], bad[s]) for s in n})
+            self.tables.append({s: (bad[s] + SMOOTH * self.rate) / (n[s] + SMOOTH) for s in n})
 
-    def of(self, name: str, own: float | None = None) -> list[float]:
-        """The rates of a host's suffixes; own: the label of a url that was counted itself, to be left out."""
-        out = []
-        for t, s in zip(self.tables, suffixes(name), strict=True):
-            n, bad = t.get(s, (0, 0.0))
-            if own is not None:
-                n, bad = n - 1, bad - own
-            out.append((bad + SMOOTH * self.rate) / (n + SMOOTH))
-        return out
+    def of(self, name: str) -> list[float]:
+        return [t.get(s, self.rate) for t, s in zip(self.tables, suffixes(name), strict=True)]
 
 
 def lexical(url: str, host: str, path: str) -> list[float]:
@@ -150,20 +150,23 @@ class Filter:
     """The fitted suffix table and trees."""
 
     def __init__(self, labelled: list[tuple[str, str, str, bool]]):
-        y = np.array([b for *_, b in labelled], float)
+        y = [float(b) for *_, b in labelled]
         self.suffixes = Suffixes([h for _, h, _, _ in labelled], y)
         self.trees = Trees()
-        if len(set(y.tolist())) > 1:
-            self.trees.fit(self.features([r[:3] for r in labelled], y.tolist()), y)
+        if len(set(y)) > 1:
+            folds = [fold_of(r[0]) for r in labelled]
+            others = [Suffixes([r[1] for r, g in zip(labelled, folds, strict=True) if g != f], [b for b, g in zip(y, folds, strict=True) if g != f]) for f in range(FOLDS)]
+            self.trees.fit(features([r[:3] for r in labelled], [others[f] for f in folds]), np.array(y))
         else:  # one kind of label or none: nothing to learn from
-            self.trees.start = -1.0 if not len(y) or not y[0] else 1.0
-
-    def features(self, rows: list[tuple[str, str, str]], own: list[float] | None = None) -> np.ndarray:
-        """own: the rows' labels, if they were learned from."""
-        return np.array([lexical(*r) + self.suffixes.of(r[1], None if own is None else own[i]) for i, r in enumerate(rows)], float).reshape(len(rows), len(NAMES))
+            self.trees.start = -1.0 if not y or not y[0] else 1.0
 
     def blocked(self, rows: list[tuple[str, str, str]]) -> np.ndarray:
-        return self.trees.predict(self.features(rows))
+        return self.trees.predict(features(rows, [self.suffixes] * len(rows)))
+
+
+def features(rows: list[tuple[str, str, str]], rates: list[Suffixes]) -> np.ndarray:
+    """Of each (url, host, path), with the suffix rates to use for it."""
+    return np.array([lexical(*r) + t.of(r[1]) for r, t in zip(rows, rates, strict=True)], float).reshape(len(rows), len(NAMES))
 
 
 JUDGED = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("block_score", pa.float64())])
