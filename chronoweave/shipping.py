@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,7 +20,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parent
-    path = os.path.join(os.path.realpath(tempfile.mkdtemp()), f"{top.name}.zip")
+    folder = os.path.realpath(tempfile.mkdtemp())  # the driver's own: executors get the file from Spark
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"{top.name}.zip")
     with zipfile.ZipFile(path, "w") as z:
         for source in sorted(top.rglob("*.py")):
             z.write(source, str(source.relative_to(top.parent)))
