@@ -3,27 +3,28 @@
 Texts become sequences of tokens in which numbers, units after numbers and names (capitalised words within a
 sentence) are typed placeholders, so that a question with other parameters has the same template. Windows of
 `window` template tokens of the benchmark are hash-joined with those of the documents; a window needs at least half
-of its tokens to be literal. Joined windows on one diagonal are laid together, and the match counts only if the slots
-agree: the same benchmark value always stands for the same document value of its type, and the other way round.
+of its tokens to be literal. Joined windows on one diagonal are laid together, and the match counts only if all their
+slots agree: the same benchmark value always stands for the same document value of its type, and the other way round.
+Beside the templates go windows of `verbatim` tokens as they are written (but for case), which need no slots to agree.
 
-The benchmark is dealt out in blocks of `block_tokens` tokens, each small enough to be sent to every task; documents
-are never shuffled. A benchmark that fits one block takes one pass.
+Documents are read once. A Bloom filter of the benchmark's window hashes, of a bounded size, goes to every task, and
+only windows that pass it are shuffled: to the benchmark's windows of the same hash, and then by document, item and
+diagonal.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm._common import batch_of, prepare, trimmed
+from chronoweave.llm._common import batch_of, checkpoint, joined_by, prepare, runs_of, trimmed
 from chronoweave.llm.suffix_dedup import mixed
 
 NUMBER, UNIT, CAPITAL, STOP = 1, 2, 4, 8
@@ -37,7 +38,7 @@ UNITS = frozenset(
 )
 NUMERIC = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*([%$€£]|[a-z]{1,3})?")
 EDGE = "\"'“”‘’«»()[]{}<>,;:.!?…*#&|%$"
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 
 
 def token(word: str) -> tuple[bytes, int]:
@@ -130,45 +131,100 @@ def window_hashes(code: np.ndarray, n: int) -> np.ndarray:
     return mixed(h + np.uint64(n))
 
 
-class Benchmark:
-    """One block of the benchmark, indexed by the hash of its template windows."""
+TEMPLATE, VERBATIM = 0, 1
+WINDOWS = "h long, kind int, n int, key long, item_id long, place long, literal binary, slots binary"
+FOUND = "h long, kind int, n int, doc_id long, sub long, place long, literal binary"
+FOUND_SCHEMA = pa.schema([("h", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("doc_id", pa.int64()), ("sub", pa.int64()), ("place", pa.int64()), ("literal", pa.binary())])
+WINDOWS_SCHEMA = pa.schema([("h", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("item_id", pa.int64()), ("place", pa.int64()), ("literal", pa.binary()), ("slots", pa.binary())])
+LEAK = "doc_id long, sub long, item_id long, n_tokens long, n_slots long, doc_start long, item_start long"
+LEAK_SCHEMA = pa.schema([("doc_id", pa.int64()), ("sub", pa.int64()), ("item_id", pa.int64()), ("n_tokens", pa.int64()), ("n_slots", pa.int64()), ("doc_start", pa.int64()), ("item_start", pa.int64())])
+#: Bits of the filter: some for each window, within bounds.
+BITS_A_WINDOW, LEAST_BITS, MOST_BITS = 256, 20, 29
+#: The filter is put together in pieces of so many bits.
+PIECE_BITS = 18
+#: Windows (some 300 bytes each), and ids of documents, that may be sent to every task.
+ROWS_TO_ALL, IDS_TO_ALL = 1 << 17, 1 << 21
 
-    def __init__(self, items: list[tuple[int, str]], window: int, least: int):
-        tokens, rows = Tokens(), defaultdict(list)
-        self.items, self.window = [], window
-        for item, text in items:
-            lines = [line.split() for line in text.split("\n")]
-            words = [w for line in lines for w in line]
-            literal, flags = tokens.of(words)
-            first = line_starts(lines)
-            code, kind = template(literal, flags, first)
-            n = min(window, len(words))
-            if n < least:
-                continue
-            nth = len(self.items)
-            self.items.append((item, literal, kind))
-            solid = np.convolve(kind == 0, np.ones(n, int), "valid")
-            h = window_hashes(code, n)
-            for at in np.flatnonzero(2 * solid >= n).tolist():
-                rows[n].append((int(h[at]), nth, at))
-        self.rows = {}
-        for n, r in rows.items():
-            r.sort()
-            self.rows[n] = (np.array([x[0] for x in r], np.uint64), np.array([x[1] for x in r], np.int64), np.array([x[2] for x in r], np.int64))
-
-    def hits(self, code: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(window length, places in code, first row of the window's hash) where a benchmark window stands."""
-        for n, (h, _, _) in self.rows.items():
-            own = window_hashes(code, n)
-            if not hasattr(self, "sieve"):
-                self.sieve = {}
-            if n not in self.sieve:
-                self.sieve[n] = np.zeros(1 << 22, bool)
-                self.sieve[n][(h >> np.uint64(42)).astype(np.int64)] = True
-            at = np.flatnonzero(self.sieve[n][(own >> np.uint64(42)).astype(np.int64)])
-            row = np.minimum(np.searchsorted(h, own[at]), len(h) - 1)
-            good = h[row] == own[at]
-            yield n, at[good], row[good]
+
+def kinds_of(n_tokens: int, window: int, verbatim: int) -> list[tuple[int, int]]:
+    """The windows (kind, length) that an item of so many tokens is cut into."""
+    return [(TEMPLATE, min(window, n_tokens)), (VERBATIM, min(verbatim, n_tokens))]
+
+
+def hashes_of(kind: int, n: int, code: np.ndarray, literal: np.ndarray) -> np.ndarray:
+    return window_hashes(code if kind == TEMPLATE else literal ^ np.uint64(0x5DEECE66D), n)
+
+
+class Filter:
+    """A Bloom filter of two bits a hash; `bits` is the logarithm of its size."""
+
+    def __init__(self, bits: int, data: np.ndarray):
+        self.bits, self.data = bits, data
+
+    @staticmethod
+    def places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+    def passing(self, h: np.ndarray) -> np.ndarray:
+        """Where hashes are that may be in it."""
+        at = np.arange(len(h))
+        for n in (0, 1):
+            place = self.places(h[at], self.bits)[n]
+            at = at[(self.data[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
+        return at
+
+
+def filter_of(windows: DataFrame, n: int) -> Filter:
+    """Tasks make pieces of the filter from windows (h), pieces are merged by Spark, and the driver gets the whole: 64 MB at most."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_A_WINDOW * n).bit_length()))
+    size = 1 << min(PIECE_BITS, bits)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for b in batches:
+            place = np.unique(np.concatenate(Filter.places(b.column(0).to_numpy().view(np.uint64), bits)))
+            for part in np.split(place, np.flatnonzero(np.diff(place // size)) + 1) if len(place) else []:
+                data = own.setdefault(int(part[0]) // size, np.zeros(size // 8, np.uint8))
+                np.bitwise_or.at(data, part % size >> 3, np.uint8(1) << (part & 7).astype(np.uint8))
+        for piece, data in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([data.tobytes()])], names=["piece", "data"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs_of(batches, "piece"):
+            data = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t.column("data").to_pylist()])
+            yield pa.RecordBatch.from_arrays([t.column("piece").combine_chunks().slice(0, 1), pa.array([data.tobytes()])], names=["piece", "data"])
+
+    made = windows.select("h").mapInArrow(trimmed(pieces), "piece long, data binary")
+    whole = np.zeros(1 << (bits - 3), np.uint8)
+    for piece, data in made.repartition("piece").sortWithinPartitions("piece").mapInArrow(trimmed(merged), "piece long, data binary").collect():
+        whole[piece * size // 8 : (piece + 1) * size // 8] = np.frombuffer(data, np.uint8)
+    return Filter(bits, whole)
+
+
+def benchmark_windows(benchmark: DataFrame, window: int, verbatim: int, least: int) -> DataFrame:
+    """All windows of all items: hash, kind, length, the item's key (of its text) and id, place, literals and slots of its tokens."""
+    items = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = known_tokens()
+        for b in batches:
+            rows = []
+            for text, key, item in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                lines = [line.split() for line in text.split("\n")]
+                words = [w for line in lines for w in line]
+                if len(words) < least:
+                    continue
+                literal, flags = tokens.of(words)
+                code, slot = template(literal, flags, line_starts(lines))
+                for kind, n in kinds_of(len(words), window, verbatim):
+                    h = hashes_of(kind, n, code, literal).view(np.int64)
+                    solid = np.convolve(slot == 0, np.ones(n, int), "valid")
+                    for at in np.flatnonzero(2 * solid >= n).tolist() if kind == TEMPLATE else range(len(h)):
+                        rows.append((int(h[at]), kind, n, key, item, at, literal[at : at + n].tobytes(), slot[at : at + n].tobytes()))
+            if rows:
+                yield batch_of(WINDOWS_SCHEMA, *zip(*rows, strict=True))
+
+    return items.select("text", F.xxhash64("text").alias("key"), "item_id").mapInArrow(trimmed(run), WINDOWS)
 
 
 def consistent(a: np.ndarray, b: np.ndarray, kinds: np.ndarray) -> bool:
@@ -181,66 +237,47 @@ def consistent(a: np.ndarray, b: np.ndarray, kinds: np.ndarray) -> bool:
     return True
 
 
-LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_tokens", pa.int64()), ("n_slots", pa.int64()), ("doc_start", pa.int64()), ("item_start", pa.int64())])
-
+def judged(windows: list[tuple[int, int, int, bytes, bytes, bytes]]) -> tuple[int, int, int] | None:
+    """(tokens matched, slots among them, first place in the item) of a diagonal's windows (kind, n, place in the item, the item's
+    literals, slots, the document's literals); None if they don't match.
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5, block_tokens: int = 2_000_000) -> DataFrame:
-    """Which documents of docs (doc_id, text, ...) hold a passage of which item of benchmark (item_id, text, ...).
-
-    Returns a row per document and item: doc_id, item_id, n_tokens (template tokens matched on the longest consistent
-    diagonal), n_slots (typed slots among them), doc_start and item_start (its first token in either). Items shorter
-    than `window` tokens match as a whole, those shorter than `least` never. Equal benchmark texts are one item, that
-    of the smallest item_id. Rows of docs that repeat a doc_id give one row, the longest match. Null and empty texts
-    match nothing; an empty table gives an empty result.
+    All template windows count if all their slots agree with each other; else only those do that are equal as they are written.
     """
+    tokens: dict[int, tuple[int, int, int]] = {}
+    plain: dict[int, tuple[int, int, int]] = {}
+    for kind, n, place, item, slots, doc in windows:
+        x, y, s = np.frombuffer(item, "<u8"), np.frombuffer(doc, "<u8"), np.frombuffer(slots, np.uint8)
+        if not ((x == y) | ((s != 0) & (kind == TEMPLATE))).all():
+            continue  # equal hashes of unequal windows
+        own = plain if kind == VERBATIM else tokens
+        for i in range(n):
+            own[place + i] = (int(x[i]), int(y[i]), int(s[i]))
+    if tokens:
+        x, y, s = (np.array(c, np.uint64) for c in zip(*tokens.values(), strict=True))
+        if consistent(x, y, s):
+            plain |= tokens
+    if not plain:
+        return None
+    return len(plain), sum(s != 0 for _, _, s in plain.values()), min(plain)
+
+
+def row_key(text: Column) -> Column:
+    """Tells rows of the same doc_id apart."""
+    return F.xxhash64(text)
+
+
+def row_leaks(docs: DataFrame, benchmark: DataFrame, window: int, verbatim: int, least: int, to_all: int) -> DataFrame:
+    """A row per row of docs (doc_id, sub: by its text), item and matching diagonal."""
     prepare(docs.sparkSession)
-    items = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
-    size = F.size(F.split(F.trim("text"), r"\s+"))
-    total = items.agg(F.sum(size)).first()[0] or 0
-    blocks = -(-int(total) // block_tokens) or 1
-    found = None
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else items
-        part = _against(docs, Benchmark(sorted((r["item_id"], r["text"]) for r in own.collect() if r["item_id"] is not None), window, least))
-        found = part if found is None else found.unionByName(part)
-    best = F.max(F.struct("n_tokens", "n_slots", "doc_start", "item_start")).alias("b")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
-
-
-def _against(docs: DataFrame, bench: Benchmark) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(bench)
-
-    def matches(code: np.ndarray, literal: np.ndarray, kind: np.ndarray, hits: list[tuple[int, int, int]], bench: Benchmark):
-        """The longest consistent diagonal of each item in one document, from (window length, place, row) hits."""
-        diagonals: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for n, at, row in hits:
-            h, nth, place = bench.rows[n]
-            end = int(np.searchsorted(h, h[row], "right"))
-            for i, p in zip(nth[row:end].tolist(), place[row:end].tolist(), strict=True):
-                diagonals[i, at - p].append((p, n))
-        best: dict[int, tuple] = {}
-        for (i, shift), windows in diagonals.items():
-            item, own, kinds = bench.items[i]
-            windows.sort()
-            spans: list[list[int]] = []
-            for p, n in windows:
-                if spans and p <= spans[-1][1]:
-                    spans[-1][1] = p + n
-                else:
-                    spans.append([p, p + n])
-            for a, b in spans:
-                if consistent(own[a:b], literal[shift + a : shift + b], kinds[a:b]):
-                    best[item] = max(best.get(item, ()), (b - a, int(np.count_nonzero(kinds[a:b])), shift + a, a))
-                    continue
-                for p, n in windows:  # no whole run agrees: single windows may
-                    if a <= p < b and consistent(own[p : p + n], literal[shift + p : shift + p + n], kinds[p : p + n]):
-                        best[item] = max(best.get(item, ()), (n, int(np.count_nonzero(kinds[p : p + n])), shift + p, p))
-        return best
+    bench = checkpoint(benchmark_windows(benchmark, window, verbatim, least))
+    lengths = sorted((r["kind"], r["n"]) for r in bench.select("kind", "n").distinct().collect())  # few: of no window is longer than these options
+    total = bench.count()
+    sent = docs.sparkSession.sparkContext.broadcast(filter_of(bench, total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench, tokens = sent.value, known_tokens()
+        sieve, tokens = sent.value, known_tokens()
         for b in batches:
-            texts = [[line.split() for line in (t or "").split("\n")] for t in b.column(1).to_pylist()]
+            texts = [[line.split() for line in (t or "").split("\n")] for t in b.column(2).to_pylist()]
             sizes = np.array([sum(map(len, t)) for t in texts], np.int64)
             ends = np.cumsum(sizes)
             lines = [line for t in texts for line in t]
@@ -248,29 +285,64 @@ def _against(docs: DataFrame, bench: Benchmark) -> DataFrame:
             if not words:
                 continue
             literal, flags = tokens.of(words)
-            first = line_starts(lines)
-            code, kind = template(literal, flags, first)
-            by_doc: dict[int, list] = defaultdict(list)
-            for n, at, row in bench.hits(code):
+            code, _ = template(literal, flags, line_starts(lines))
+            ids, subs = b.column(0), b.column(1).to_numpy()
+            for kind, n in lengths:
+                h = hashes_of(kind, n, code, literal)
+                at = sieve.passing(h)
                 doc = np.searchsorted(ends, at, "right")
                 inside = at + n <= ends[doc]
-                for d, a, r in zip(doc[inside].tolist(), at[inside].tolist(), row[inside].tolist(), strict=True):
-                    by_doc[d].append((n, a - int(ends[d] - sizes[d]), r))
-            ids, rows = b.column(0), []
-            for d, hits in by_doc.items():
-                own = slice(int(ends[d] - sizes[d]), int(ends[d]))
-                for item, (n, slots, at, p) in matches(code[own], literal[own], kind[own], hits, bench).items():
-                    rows.append((ids[d].as_py(), item, n, slots, at, p))
+                at, doc = at[inside], doc[inside]
+                for s in range(0, len(at), 1 << 14):
+                    a, d = at[s : s + (1 << 14)], doc[s : s + (1 << 14)]
+                    spans = [literal[x : x + n].tobytes() for x in a.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(h[a].view(np.int64)), pa.array(np.full(len(a), kind, np.int32)), pa.array(np.full(len(a), n, np.int32)), ids.take(pa.array(d)), pa.array(subs[d]), pa.array(a - (ends[d] - sizes[d])), pa.array(spans, pa.binary())], schema=FOUND_SCHEMA)
+
+    text = F.col("text")
+    passed = checkpoint(docs.select(F.col("doc_id").cast("long"), row_key(text), text).mapInArrow(trimmed(run), FOUND))
+    sent.unpersist()
+    passed = passed.withColumnRenamed("n", "length")
+    known = bench.withColumnsRenamed({"kind": "item_kind", "n": "item_n", "place": "item_place", "literal": "item_literal"})
+    if total <= to_all:
+        both = passed.join(F.broadcast(known), "h")
+    else:
+        both = joined_by(passed, known.join(passed.groupBy("h").agg(F.count("*").alias("n")), "h"), "h", passed.count())
+    both = both.where("kind = item_kind and length = item_n")
+    met = both.select("doc_id", "sub", "key", (F.col("place") - F.col("item_place")).alias("shift"), "item_id", "kind", "length", "item_place", "item_literal", "slots", "literal")
+
+    def diagonals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs_of(batches, "task", "sub", "key", "shift"):
+            out = {}
+            for doc, sub, shift, item, *w in zip(*(t.column(c).to_pylist() for c in ("doc_id", "sub", "shift", "item_id", "kind", "length", "item_place", "item_literal", "slots", "literal")), strict=True):
+                out.setdefault((doc, sub, shift, item), []).append(tuple(w))
+            rows = [(doc, sub, item, *hit[:2], shift + hit[2], hit[2]) for (doc, sub, shift, item), w in out.items() if (hit := judged(w))]
             if rows:
-                yield batch_of(LEAKS, *zip(*rows, strict=True))
+                yield batch_of(LEAK_SCHEMA, *zip(*rows, strict=True))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, item_id long, n_tokens long, n_slots long, doc_start long, item_start long")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    task = F.xxhash64("doc_id", "sub", "key", "shift")
+    dealt = met.withColumn("task", task).repartitionById(parts, F.pmod("task", F.lit(parts)).cast("int")).sortWithinPartitions("task", "sub", "key", "shift")
+    return dealt.mapInArrow(trimmed(diagonals), LEAK)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs without a passage of the benchmark, all columns as they are.
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, verbatim: int = 13, least: int = 5, to_all: int = ROWS_TO_ALL) -> DataFrame:
+    """Which documents of docs (doc_id, text, ...) hold a passage of which item of benchmark (item_id, text, ...).
 
-    Rows without doc_id are told apart by nothing, so they stay or go together.
+    Returns a row per document and item: doc_id, item_id, n_tokens (tokens matched on the longest diagonal), n_slots
+    (typed slots among them), doc_start and item_start (its first token in either). Items shorter than a window match as a
+    whole, those shorter than `least` never. Equal benchmark texts are one item, that of the smallest item_id; items
+    without an id count as others do, and their rows have a null item_id. Rows of docs that repeat a doc_id are matched
+    one by one and give one row, the longest match; so do rows without doc_id. Null and empty texts match nothing; an empty
+    table gives an empty result. A benchmark of up to `to_all` windows goes to every task, a larger one is shuffled.
     """
-    gone = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti").select(*docs.columns)
+    found = row_leaks(docs, benchmark, window, verbatim, least, to_all)
+    best = F.max(F.struct("n_tokens", "n_slots", "doc_start", "item_start")).alias("b")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 8, verbatim: int = 13, least: int = 5, to_all: int = ROWS_TO_ALL) -> DataFrame:
+    """The rows of docs without a passage of the benchmark, all columns as they are. Each row is judged by its own text, with or without an id of its own."""
+    gone = checkpoint(row_leaks(docs, benchmark, window, verbatim, least, to_all).select(F.col("doc_id").alias("_leaked"), F.col("sub").alias("_by_text")).distinct())
+    if gone.count() <= IDS_TO_ALL:  # then the texts aren't shuffled
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_leaked")) & (row_key(F.col("text")) == F.col("_by_text")), "left_anti").select(*docs.columns)

@@ -1,8 +1,11 @@
+import os
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from chronoweave.llm import _common
 from chronoweave.llm._common import LongTable, connected_components, pack, unpack
 
 
@@ -28,6 +31,30 @@ def test_components(spark, seed):
     assert sorted(map(tuple, got.collect())) == sorted((x, find(x)) for x in root)
 
 
+def test_hubs_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(_common, "HOT_ROWS", 10)  # read in the driver
+    monkeypatch.setattr(_common, "HOT_KEYS", 50)
+    edges = [(100, i) for i in range(200, 360)] + [(i, i + 1) for i in range(30)] + [(400, 359), (5, 500)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: (0 if x <= 30 or x == 500 else 100) for e in edges for x in e}
+    rows = spark.createDataFrame([(i % 3 if i % 4 else 9, i) for i in range(200)], "k long, x long")
+    sizes = rows.groupBy("k").agg(F.count("*").alias("n"), F.sum("x").alias("total"))
+    joined = _common.joined_by(rows, sizes, "k", 200)
+    totals = {r.k: r.total for r in sizes.collect()}
+    assert sorted((r.k, r.x, r.total) for r in joined.collect()) == sorted((r.k, r.x, totals[r.k]) for r in rows.collect())
+    assert joined.columns == ["k", "x", "total"] and "_salt" in joined._jdf.queryExecution().toString()
+
+
+def test_tables_are_written_and_deleted(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "a long, b string")
+    for made in (_common.written(df), _common.checkpoint(df)):
+        assert sorted(map(tuple, made.collect())) == [(1, "a"), (2, None)] and made.columns == df.columns
+        folder = _common.shared_folder(spark)
+        before = sum(len(f) for _, _, f in os.walk(folder.removeprefix("file:")))
+        _common.forget(made)
+        assert sum(len(f) for _, _, f in os.walk(folder.removeprefix("file:"))) < before
+
+
 def test_pack():
     a, b = np.arange(5), np.arange(5).astype(np.uint8)
     (x, y), rest = unpack(pack([a, b], b"tail"), [np.int64, np.uint8])
