@@ -6,7 +6,8 @@ pass the base rules. A document is rejected if either distance is over its limit
 documents, whose histograms are noisy, and documents under the minimum length are left to the base rules.
 
 Inside a row, repeated three-word windows are found without a shuffle: the windows' hashes are packed with their places
-into longs and sorted, and equal neighbours are the repeats.
+into longs and sorted, and equal neighbours are the repeats. Their words are compared too, and a text in which hashes
+clash has its windows sorted as texts, so the count is exact.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm._common import checkpoint
+from chronoweave.llm._common import checkpoint, prepare, written
 
 # Common function words of each language, and the marks that stand between items where there is no prose.
 MARKS = ["|", "-", "*", "•"]
@@ -30,6 +31,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 CLASS_LIMIT, WORD_LIMIT, WORD_SLACK, LEAST_WORDS = 0.30, 0.28, 0.60, 50
 
 
+#: Tells windows of words apart, nearly always.
+WINDOW_HASH = F.xxhash64
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: as a variable, it isn't copied into every use."""
     return F.transform(F.array(value), body)[0]
@@ -37,30 +42,50 @@ def let(value: Column, body) -> Column:
 
 def repeated_words(words: Column) -> Column:
     """Words covered by three-word windows that occur twice or more."""
-    at = F.get
+    at, nothing = F.get, F.lit(0).cast("long")
 
     def covered(starts: Column) -> Column:
         step = F.transform(starts, lambda x, i: F.coalesce(F.least(F.lit(3), at(starts, i + 1) - x), F.lit(3)))
-        return F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.aggregate(step, nothing, lambda a, x: a + x)
+
+    def by_text() -> Column:
+        """Windows as texts, sorted with their places: exact in itself, and slow."""
+
+        def starts(s: Column) -> Column:
+            def same(x: Column, i: Column) -> Column:
+                return F.coalesce(at(s, i)["w"] == x["w"], F.lit(False))
+
+            return F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))
 
-    def by_sort(hashes: Column) -> Column:
+        texts = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.concat_ws(" ", F.slice(words, i + 1, F.lit(3))).alias("w"), i.alias("i")))
+        return let(F.sort_array(texts), lambda s: let(starts(s), covered))
+
+    def by_hash(hashes: Column) -> Column:
+        """Hashes cut to make room for places, sorted with them. Equal neighbours must be equal in their words too, or else texts are sorted."""
         bits = F.length(F.bin(F.size(hashes).cast("long"))).cast("int")
 
         def found(shift: Column) -> Column:
-            def starts(s: Column) -> Column:
+            def judged(s: Column) -> Column:
+                mask = F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1
+                place = lambda x: x.bitwiseAND(mask).cast("int")
+
                 def same(x: Column, i: Column) -> Column:
                     return F.coalesce(F.call_function("shiftright", at(s, i), shift) == F.call_function("shiftright", x, shift), F.lit(False))
 
-                mask = F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1
-                kept = F.filter(s, lambda x, i: (same(x, i - 1)) | (same(x, i + 1)))
-                return F.sort_array(F.transform(kept, lambda x: x.bitwiseAND(mask).cast("int")))
+                def differ(x: Column, y: Column) -> Column:
+                    return (at(words, x) != at(words, y)) | (at(words, x + 1) != at(words, y + 1)) | (at(words, x + 2) != at(words, y + 2))
+
+                kept = F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1))
+                clash = F.size(F.filter(s, lambda x, i: same(x, i - 1) & differ(place(x), place(at(s, i - 1))))) > 0
+                return F.when(clash, by_text()).otherwise(let(F.sort_array(F.transform(kept, place)), covered))
 
-            return let(F.sort_array(F.transform(hashes, lambda h, i: F.call_function("shiftleft", h, shift).bitwiseOR(i.cast("long")))), lambda s: let(starts(s), covered))
+            return let(F.sort_array(F.transform(hashes, lambda h, i: F.call_function("shiftleft", h, shift).bitwiseOR(i.cast("long")))), judged)
 
-        return let(bits, found)
+        # most texts have no window twice
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), nothing).otherwise(let(bits, found))
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(at(words, i), at(words, i + 1), at(words, i + 2)))
-    return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(let(windows, by_sort))
+    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: WINDOW_HASH(at(words, i), at(words, i + 1), at(words, i + 2)))
+    return F.when(F.size(words) < 3, nothing).otherwise(let(windows, by_hash))
 
 
 def features(text: Column, lang: Column) -> Column:
@@ -83,8 +108,7 @@ def features(text: Column, lang: Column) -> Column:
                 each = F.transform(F.array(*[F.lit(f" {w} ") for w in COMMON[name]]), lambda w: ((F.octet_length(p) - F.octet_length(F.replace(p, w, F.lit("")))) / F.octet_length(w)).cast("long"))
                 return let(each, lambda c: F.concat(c, F.array(F.size(words) - F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x))))
 
-            known = F.coalesce(lang.isin(*COMMON), F.lit(False))
-            return F.array(*[F.when(~known | (lang == name), one(name)) for name in COMMON])
+            return F.array(*[F.when(lang.isNull() | (lang == name), one(name)) for name in COMMON])
 
         return let(plain, count)
 
@@ -166,7 +190,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
     Returns one row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, class_distance, word_distance, reference. A null text is empty and fails the base rules. A
-    null or unknown lang is compared with the nearest reference; where there is none, the base rules decide.
+    null lang is compared with the nearest reference; where there is none, and for a lang without a list of common
+    words, the base rules decide.
     """
     counted = checkpoint(docs.select("doc_id", F.col("lang").alias("lang"), features(F.col("text"), F.col("lang")).alias("f")))
     v = verdict(F.col("f"), references(counted))
@@ -175,9 +200,11 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, all columns as they are."""
-    # a generator, so that the filter in references() doesn't count everything a second time
-    refs = references(docs.select("lang", F.explode(F.array(features(F.col("text"), F.col("lang")))).alias("f")))
-    return docs.where(let(features(F.col("text"), F.col("lang")), lambda f: verdict(f, refs)["kept"]))
+    prepare(docs.sparkSession)
+    # counting costs far more than writing the documents once
+    counted = written(docs.withColumn("_counted", features(F.col("text"), F.col("lang"))))
+    refs = references(counted.select("lang", F.col("_counted").alias("f")))
+    return counted.where(verdict(F.col("_counted"), refs)["kept"]).select(*docs.columns)
 
 
 def oracle() -> str:
@@ -202,7 +229,7 @@ cw(name, bin, w) AS (VALUES {words}),
 h AS (SELECT r, lower(w) AS w, count(*) AS n FROM x GROUP BY ALL),
 m AS (SELECT r, name, bin, n FROM h JOIN cw USING (w)),
 com AS (SELECT f.r, f.lang, f.base_failed, g.name, g.bin, coalesce(m.n, 0)::BIGINT AS n FROM f CROSS JOIN (SELECT name, bin FROM cw) g LEFT JOIN m ON m.r = f.r AND m.name = g.name AND m.bin = g.bin
-  WHERE f.lang = g.name OR f.lang IS NULL OR f.lang NOT IN (SELECT name FROM cw)),
+  WHERE f.lang = g.name OR f.lang IS NULL),
 com2 AS (SELECT * FROM com UNION ALL SELECT com.r, any_value(com.lang), any_value(com.base_failed), name, 99, any_value(f.n_words) - sum(n) FROM com JOIN f USING (r) GROUP BY com.r, name),
 rc AS (SELECT lang AS name, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM cls WHERE NOT base_failed GROUP BY lang, bin),
 rw AS (SELECT name, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY name) AS q FROM com2 WHERE NOT base_failed AND lang = name GROUP BY name, bin),
