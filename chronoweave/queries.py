@@ -219,7 +219,8 @@ TIED_SQL = {
     "percentile": "quantile_cont(bp, 0.9)", "median": "quantile_cont(bp, 0.5)", "first": "arg_min(bp, (bt, bs))", "last": "arg_max(bp, (bt, bs))",
 }
 for _kind, _sql in TIED_SQL.items():
-    add(f"moving_{_kind}_ties", lambda s, d, k=_kind: rounded(aggregates.moving(order_prices(s, d), k, 10 * DAY, 90.0), 2), f"WITH {TIED} SELECT {ROW}, '{_kind}' AS agg_type, round({_sql}, 2) AS value, count(*) AS count FROM x GROUP BY {ROW}")
+    _places = 0 if _kind == "variance" else 2  # variances are large
+    add(f"moving_{_kind}_ties", lambda s, d, k=_kind, p=_places: rounded(aggregates.moving(order_prices(s, d), k, 10 * DAY, 90.0), p), f"WITH {TIED} SELECT {ROW}, '{_kind}' AS agg_type, round({_sql}, {_places}) AS value, count(*) AS count FROM x GROUP BY {ROW}")
 add("twap_ties", lambda s, d: rounded(finance.twap(order_prices(s, d), 10 * DAY), 2), f"""WITH {TIED}, y AS (SELECT *, lag(bt) OVER w AS pt, lag(bp) OVER w AS pp FROM x WINDOW w AS (PARTITION BY {ROW} ORDER BY bt, bs))
 SELECT {ROW}, 'TWAP' AS metric, round(CASE WHEN sum(bt - pt) = 0 THEN any_value(own) ELSE sum((bp + pp) / 2 * (bt - pt)) / sum(bt - pt) END, 2) AS value FROM y GROUP BY {ROW} HAVING count(*) > 1""")
 add("vwap_ties", lambda s, d: rounded(finance.vwap(order_prices(s, d), 10 * DAY), 4), f"WITH {TIED} SELECT {ROW}, 'VWAP' AS metric, round(CASE WHEN sum(bv) > 0 THEN sum(bp * bv) / sum(bv) ELSE avg(bp) END, 4) AS value FROM x GROUP BY {ROW}")
