@@ -7,6 +7,7 @@ import pytest
 import xxhash
 
 from chronoweave.llm import simhash_ball
+from chronoweave.llm.simhash_ball import Sizes
 from tests.llm.conftest import clashing
 
 
@@ -178,85 +179,113 @@ def similar_components(rows):
     return {doc: rows[find(i)][0] for i, (doc, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize(("seed", "few"), [(1, 8), (2, 2)])
-def test_by_similarity(docs_of, monkeypatch, seed, few):
-    monkeypatch.setattr(simhash_ball, "FEW", few)
+SMALL = Sizes(few=2, hot=4, near=3, block=5, sample=200)
+
+
+@pytest.mark.parametrize(("seed", "sizes"), [(1, Sizes()), (2, SMALL)])
+def test_by_similarity(docs_of, seed, sizes):
     rows = [*families(seed), (500, None), (501, ""), (502, "a b"), (503, "A  b"), (504, "lonely")]
-    got = {r.doc_id: r.component_id for r in simhash_ball.near_duplicates(clashing(docs_of(*rows)), words=5, similarity=0.8).collect()}
-    want = similar_components(rows)
-    # whatever is linked is as similar as asked; and nearly all that is so similar is linked
-    for doc, c in got.items():
-        assert want[doc] == want[c]
-    assert sum(got[d] == want[d] for d in want) >= 0.97 * len(want)
+    got = {r.doc_id: r.component_id for r in simhash_ball.near_duplicates(clashing(docs_of(*rows)), words=5, similarity=0.8, sizes=sizes).collect()}
+    assert got == similar_components(rows)
     assert got[500] == got[501] == 500 and got[503] == 502 and got[504] == 504
 
 
 def test_one_of_each_by_similarity(docs_of):
     rows = families(3)
     kept = {r.doc_id for r in simhash_ball.one_of_each(docs_of(*rows), words=5, similarity=0.8).collect()}
-    want = set(similar_components(rows).values())
-    assert want <= kept and len(kept) <= len(want) + 0.05 * len(rows)
+    assert kept == set(similar_components(rows).values())
     twice = simhash_ball.one_of_each(docs_of(*rows, *rows, (None, rows[0][1]), (None, "alone")), words=5, similarity=0.8).collect()
     assert len(twice) == len(kept) + 1
 
 
-def test_plan():
-    small, large = simhash_ball.Plan(1000, 0.8), simhash_ball.Plan(10**9, 0.8)
-    assert small.width == 18 and large.width == 38 and large.blocks > small.blocks
-    assert simhash_ball.Plan(10, 1.0).blocks == 4
+def members(n, k=None, c=None):
+    """n members in order, as the tests of pairs read them."""
+    return {"k": np.zeros(n, np.int64) if k is None else k, "u": np.arange(n), "pos": np.arange(n), "size": np.ones(n, np.int64), "tile": np.arange(n), "c": np.arange(n) if c is None else c}
 
 
-def test_all_pairs_at_a_place_are_tested_or_linked():
+@pytest.mark.parametrize("block", [7, 64, 1000])
+def test_all_pairs_some_rows_apart_are_tested(block):
     r = np.random.default_rng(5)
-    n = 150
-    like = np.zeros((n, n), bool)
-    for _ in range(120):
-        i, j = r.integers(0, n, 2)
-        like[i, j] = like[j, i] = i != j
-    c, done, low, high = np.arange(n), set(), 1, 2
-    while low < n:
-        batch = pa.RecordBatch.from_pydict({"k": np.zeros(n, np.int64), "u": np.arange(n), "size": np.zeros(n, np.int64), "w": pa.array([[0]] * n, pa.list_(pa.int64())), "c": c})
-        for b in simhash_ball.apart(low, high, lambda x, y, a, b: np.ones(len(x), bool))(iter([batch])):
-            for i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                done.add((i, j))
-        for _ in range(n):  # components of the verified pairs
-            for i, j in done:
-                if like[i, j]:
-                    c[i] = c[j] = min(c[i], c[j])
-        low, high = high, high * simhash_ball.WIDER
-    assert all((i, j) in done or c[i] == c[j] for j in range(n) for i in range(j))
-    assert all(c[i] == c[j] for i, j in zip(*np.nonzero(like), strict=True))
-
-
-def test_large_families_by_similarity(docs_of):
+    m = members(150, np.sort(r.integers(0, 4, 150)), r.integers(0, 40, 150))
+    for low, high in ((1, 2), (2, 6), (1, 7)):
+        batches = []
+        for task in range(-(-150 // block)):
+            own = np.flatnonzero((m["pos"] // block == task) | ((m["pos"] + high - 1) // block == task))
+            rows = {"task": np.full(len(own), task), **{n: x[own] for n, x in m.items()}, "w": pa.array([bytes(64)] * len(own), pa.binary())}
+            batch = pa.RecordBatch.from_pydict(rows)
+            batches += [batch.slice(0, 3), batch.slice(3)]  # runs go over the ends of batches
+        got = [(i, j) for b in simhash_ball.apart(low, high, block, simhash_ball.Bounds(0.8))(iter(batches)) for i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        want = {(i, j) for i in range(150) for j in range(i + low, min(150, i + high)) if m["k"][i] == m["k"][j] and m["c"][i] != m["c"][j]}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_the_rest_is_tested_with_all(spark):
+    r = np.random.default_rng(6)
+    k, c = np.sort(r.integers(0, 3, 120)), np.where(r.random(120) < 0.7, 0, r.integers(0, 9, 120))
+    rows = [(int(k[i]), i, i, 1, i, bytearray(64), int(c[i])) for i in range(120)]
+    df = spark.createDataFrame(rows, "k long, u long, pos long, size long, tile long, w binary, c long")
+    for sizes in (Sizes(near=2, block=10), Sizes(near=5, block=4096)):
+        got = [(x.u, x.v) for x in simhash_ball.rest_with_all(df, 120, sizes, simhash_ball.Bounds(0.8)).collect()]
+        want = {(i, j) for i in range(120) for j in range(i + sizes.near, 120) if k[i] == k[j] and c[i] != c[j]}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def large_families():
+    """Two families of 150 texts about 0.8 alike, many of them less, and one of 120 relatives about 0.76 alike with a twin each."""
     r = random.Random(9)
     vocabulary = ["".join(r.choices("abcdefg", k=5)) for _ in range(500)]
     rows = []
-    for _ in range(2):  # members that are about 0.8 alike, many of them less
+
+    def changed(words, n):
+        near = list(words)
+        for at in r.sample(range(len(near)), n):
+            near[at] = r.choice(vocabulary)
+        return near
+
+    for _ in range(2):
         words = r.choices(vocabulary, k=60)
-        for _ in range(150):
-            near = list(words)
-            for _ in range(r.randrange(1, 4)):
-                near[r.randrange(len(near))] = r.choice(vocabulary)
-            rows.append((len(rows), " ".join(near)))
-    got = {d.doc_id: d.component_id for d in simhash_ball.near_duplicates(docs_of(*rows), words=5, similarity=0.8).collect()}
-    assert got == similar_components(rows)
+        rows += [(len(rows) + i, " ".join(changed(words, r.randrange(1, 4)))) for i in range(150)]
+    words = r.choices(vocabulary, k=300)
+    for _ in range(120):
+        relative = changed(words, 5)
+        rows += [(len(rows), " ".join(relative)), (len(rows) + 1, " ".join(relative[:-1]))]
+    return rows
+
+
+def test_large_families_by_similarity(docs_of, spark):
+    rows = large_families()
+    want = similar_components(rows)
+    assert len(set(want.values())) > 3
+    for parts, sizes in ((4, Sizes()), (23, SMALL)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        got = {d.doc_id: d.component_id for d in simhash_ball.near_duplicates(docs_of(*rows).repartition(parts), words=5, similarity=0.8, sizes=sizes).collect()}
+        assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_like_sets_share_a_leading_element_and_keep_the_bounds():
     r = np.random.default_rng(6)
+    bounds = simhash_ball.Bounds(0.8)
     for n in [1, 2, 4, 5, 9, 36, 41, 200, 3000]:
         for _ in range(40):
-            pool = np.unique(r.integers(0, 2**63, n + n // 4, dtype=np.uint64))
+            pool = np.unique(r.integers(0, 2**48, n + n // 4, dtype=np.uint64))
             extra = r.integers(0, n // 4 + 1)
             own = r.permutation(pool)
-            a, b = (np.sort(np.concatenate([own[: n], x])) for x in (own[n : n + extra], own[n + extra :]))
+            a, b = (np.sort(np.concatenate([own[:n], x])) for x in (own[n : n + extra], own[n + extra :]))
             assert len(own) == 0 or len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
-            frequent = np.sort(r.choice(pool, len(pool) // 2, replace=False))
-            leads = [simhash_ball.leading(x, 0.8, frequent, r.permutation(0) if not len(frequent) else np.arange(len(frequent))[::-1]) for x in (a, b)]
-            assert len(np.intersect1d(*leads))
-            odd = np.bitwise_count(simhash_ball.parities(a) ^ simhash_ball.parities(b)).sum()
-            assert odd <= len(a) + len(b) - 2 * len(np.intersect1d(a, b)) <= (len(a) + len(b)) / 9 + 1e-6
+            known = np.sort(r.choice(pool, len(pool) // 2, replace=False))
+            frequent = simhash_ball.Frequent(known, np.arange(len(known))[::-1], np.full(len(known), 3.0))
+            assert len(np.intersect1d(*[simhash_ball.leading(x, 0.8, frequent) for x in (a, b)]))
+            w = [simhash_ball.parities(x) for x in (a, b)]
+            few = [simhash_ball.folded(x, simhash_ball.PARITIES) for x in w]
+            size = min(map(len, w))
+            differ = len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+            for odd in (np.bitwise_count(few[0] ^ few[1]).sum(), np.bitwise_count(simhash_ball.folded(w[0], size) ^ simhash_ball.folded(w[1], size)).sum()):
+                assert odd <= differ <= (len(a) + len(b)) / 9 + 1e-6
+            assert bounds.allow(np.array([len(a)]), np.array([len(b)]), few[0][None], few[1][None]).all() and bounds.allow_two(len(a), len(b), *w)
+            other = np.unique(r.integers(0, 2**48, len(a), dtype=np.uint64))
+            assert n < 200 or not bounds.allow_two(len(a), len(other), w[0], simhash_ball.parities(other))
+            assert (simhash_ball.unpacked(simhash_ball.packed(a)) == a).all()
 
 
 def test_all_pairs_of_small_sets_are_found(docs_of):
